@@ -2,9 +2,9 @@
 
 A text is the weighted set of its words (weight: how often). For each of `samples` samples, a word k of weight w draws
 r and c of Gamma(2, 1) and b of U(0, 1) from hashes of k, takes t = floor(ln w / r + b) and the rank
-ln c - r * (t - b + 1); the word of least rank, with its t, is the sample. Two texts agree in a sample with a probability equal to the
-generalised Jaccard similarity of their weighted sets (sum of smaller over sum of larger weights). Gamma draws come from
-tables of the distribution's quantiles, computed when the plan is built.
+c * exp(-r * (t - b + 1)); the word of least rank, with its t, is the sample. Two texts agree in a sample with a probability equal to the
+generalised Jaccard similarity of their weighted sets (sum of smaller over sum of larger weights). A Gamma draw is
+the sum of two exponential ones, each made of a geometric number of halvings and a remainder, which takes no logarithm.
 
 `edited` pairs every text with an edited one and with the next document in descending order of id. Texts are dealt out
 once, by ranges of the id (bounds: approximate quantiles); each range also gets a copy of the first document of the
@@ -23,21 +23,27 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLES = 64
-QUANTILES = 4096
+#: Samples, in groups of GROUP.
+SAMPLES, GROUP = 16, 1
 #: Bits of a sample in the fingerprint; in ranking, bits above them hold the rank.
 HASH_BITS = 20
 
 
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(n) + 0.5) / n
-    lo, hi = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+def _fit(curve: np.ndarray, x: np.ndarray) -> list[float]:
+    return [float(c) for c in np.polyfit(x, curve, 4)[::-1]]
+
+
+_GRID = np.linspace(0.0, 1.0, 2001)
+#: Polynomials for -log2(1 - x / 2) / x and 2^-x on [0, 1]; their error is below 1e-4.
+_REST = _fit(-np.log2(1 - _GRID[1:] / 2) / _GRID[1:], _GRID[1:])
+_HALVE = _fit(2.0**-_GRID, _GRID)
+
+
+def _poly(x: Column, c: list[float]) -> Column:
+    out = F.lit(c[-1])
+    for k in c[-2::-1]:
+        out = out * x + F.lit(k)
+    return out
 
 
 def weighted_terms(text: Column) -> Column:
@@ -48,42 +54,61 @@ def weighted_terms(text: Column) -> Column:
 
 def samples(rows: DataFrame, keys: list[str], text: str, carried: list[str], n: int = SAMPLES) -> DataFrame:
     """rows has a row for each distinct `keys` (partitioned by some of these, else a shuffle follows). keys, carried
-    (longs) and s0 .. s{n-1}: the samples as numbers of HASH_BITS bits, -1 for an empty text."""
+    (longs) and _s: the n samples as numbers of HASH_BITS bits, -1 for an empty text."""
     words = rows.select(*keys, *carried, weighted_terms(F.col(text)).alias("_w"))
     last = F.size("_w") - 1
     # positions where a run of equal hashes begins
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
     words = words.withColumn("_i", F.when(last >= 0, starts))
-    runs = F.transform("_i", lambda i, j: F.struct(F.get("_w", i).alias("k"), F.log((F.coalesce(F.get("_i", j + 1), F.size("_w")) - i).cast("double")).alias("lw")))
+    runs = F.transform("_i", lambda i, j: F.struct(F.get("_w", i).alias("k"), (F.log((F.coalesce(F.get("_i", j + 1), F.size("_w")) - i).cast("double")) / float(np.log(2))).alias("lw")))
     terms = words.select(*keys, *carried, F.explode_outer(runs).alias("_t")).select(*keys, *carried, F.col("_t.k").alias("_k"), F.col("_t.lw").alias("_lw"))
-    g = gamma_quantiles()
-    # array literals: one reference in generated code
-    rq, cq = F.lit(g), F.lit(np.log(g))
-    out = []
-    for i in range(n):
-        h = F.xxhash64(F.col("_k"), F.lit(i))
-        r = F.get(rq, h.bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-        c = F.get(cq, F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-        b = F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(0xFFFFFF)).cast("double") / float(1 << 24)
-        t = F.floor(F.col("_lw") / r + b)
-        rank = c - r * (t - b + 1)
-        mark = F.xxhash64(h, t).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-        whole = F.shiftleft(((rank + 4096.0) * float(1 << 28)).cast("long"), HASH_BITS).bitwiseOR(mark)
-        out.append(F.coalesce(F.min(whole).bitwiseAND(F.lit((1 << HASH_BITS) - 1)), F.lit(-1)).alias(f"s{i}"))
-    return terms.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *out)
-
-
-def printed(n: int = SAMPLES) -> Column:
+    # GROUP samples to a row: few enough columns for generated code, one hash lookup for all of them. Each step is a
+    # projection of its own, so that no expression is computed twice.
+    span = range(GROUP)
+    rest = [*keys, *carried, "_lw", "_j"]
+    at = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(n // GROUP - 1))).alias("_j"))
+    at = at.select(*rest, *[F.xxhash64("_k", "_j", F.lit(i)).alias(f"h{i}_") for i in span])
+    at = at.select(*rest, *[f"h{i}_" for i in span], *[F.xxhash64(f"h{i}_").alias(f"g{i}_") for i in span])
+
+    def half(h: str, low: int) -> list[Column]:
+        """A geometric draw (trailing ones of 14 bits) and a uniform one (14 bits)."""
+        bits = F.shiftrightunsigned(h, low)
+        ones = bits.bitwiseAND(F.lit(0x3FFF))
+        return [(F.bit_count(ones.bitwiseXOR(ones + 1)) - 1).cast("double"), F.shiftrightunsigned(h, low + 14).bitwiseAND(F.lit(0x3FFF)).cast("double") * (1 / 16384) + (0.5 / 16384)]
+
+    def both(h: str) -> Column:
+        """A Gamma(2, 1) draw in units of ln 2: two exponential draws, each a geometric one (halvings) and the rest."""
+        (a, x), (b, y) = half(h, 0), half(h, 28)
+        return a + b + x * _poly(x, _REST) + y * _poly(y, _REST)
+
+    uniform = lambda i: F.shiftrightunsigned(f"h{i}_", 56).bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"g{i}_", 56), 8)).cast("double") * (1 / 65536)
+    at = at.select(*rest, *[F.shiftrightunsigned(f"g{i}_", 4).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias(f"m{i}_") for i in span], *[both(f"h{i}_").alias(f"r{i}_") for i in span], *[both(f"g{i}_").alias(f"c{i}_") for i in span], *[uniform(i).alias(f"b{i}_") for i in span])
+    at = at.select("*", *[F.floor(F.col("_lw") / F.col(f"r{i}_") + F.col(f"b{i}_")).alias(f"t{i}_") for i in span])
+    at = at.select(*rest, *[F.col(f"{x}{i}_") for x in "mct" for i in span], *[(F.col(f"r{i}_") * (F.col(f"t{i}_") - F.col(f"b{i}_") + 1.0)).alias(f"x{i}_") for i in span])
+    at = at.select("*", *[F.floor(f"x{i}_").alias(f"n{i}_") for i in span])
+
+    def whole(i: int) -> Column:
+        """The rank c * 2^-x as a number of 43 bits, above the sample's mark."""
+        halvings = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col(f"n{i}_"), F.lit(62).cast("long")).cast("int")).cast("double")
+        rank = F.col(f"c{i}_") * _poly(F.col(f"x{i}_") - F.col(f"n{i}_"), _HALVE) / halvings
+        mark = F.col(f"m{i}_").bitwiseXOR(F.col(f"t{i}_").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.shiftleft((F.least(rank, F.lit(31.9)) * float(1 << 38)).cast("long"), HASH_BITS).bitwiseOR(mark)
+
+    least = at.groupBy(*keys, "_j").agg(*[F.max(c).alias(c) for c in carried], *[F.min(whole(i)).alias(f"v{i}") for i in span])
+    values = F.array(*[F.coalesce(F.col(f"v{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), F.lit(-1).cast("long")) for i in span])
+    parts = least.select(*keys, *carried, F.struct("_j", values.alias("v")).alias("_p"))
+    out = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.sort_array(F.collect_list("_p")).alias("_p"))
+    return out.select(*keys, *carried, F.flatten(F.transform("_p", lambda p: p["v"])).alias("_s"))
+
+
+def printed(samples: Column) -> Column:
     """The fingerprint as text, five hexadecimal digits a sample."""
-    return F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))), HASH_BITS // 4, "0") for i in range(n)])
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))), HASH_BITS // 4, "0")), "")
 
 
-def likeness(a: list[Column], b: list[Column]) -> Column:
+def likeness(a: str, b: str, n: int) -> Column:
     """Share of the samples in which two texts agree."""
-    total = F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        total = total + (x == y).cast("int")
-    return total / float(len(a))
+    return F.size(F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda x: x["a"] == x["b"])) / float(n)
 
 
 def ranged(docs: DataFrame, ranges: int) -> DataFrame:
@@ -130,13 +155,11 @@ def edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     both = both.select("*", *[part(i).alias(f"h{i}") for i in range(4)])
     got = samples(both, ["_b", "_n", "_e"], "_text", ["_c", "_id", "n_chars", "h0", "h1", "h2", "h3"], n)
     # own and edited text side by side, next document's samples by window; still one partitioning
-    names = [f"s{i}" for i in range(n)]
     beside = Window.partitionBy("_b").orderBy("_n", "_e")
     sha = F.concat(*[F.lpad(F.lower(F.hex(f"h{i}")), 16, "0") for i in range(4)])
-    packed = got.select("_b", "_n", "_e", "_c", "_id", "n_chars", sha.alias("_sha"), F.array(*names).alias("_s"), printed(n).alias("_f"))
-    packed = packed.select("*", F.lead("_s", 1).over(beside).alias("_es"), F.lead("_f", 1).over(beside).alias("_ef"), F.lead("_sha", 1).over(beside).alias("_esha"), F.lead("_s", 2).over(beside).alias("_ns")).where("_e = 0 and _c = 0")
-    same = lambda a, b: likeness([F.get(a, F.lit(i)) for i in range(n)], [F.get(b, F.lit(i)) for i in range(n)])
-    return packed.select(F.col("_id").alias("doc_id"), "n_chars", F.col("_esha").alias("edited_sha256"), F.col("_f").alias("fingerprint"), F.col("_ef").alias("edited_fingerprint"), same("_s", "_es").alias("near_edited"), same("_s", "_ns").alias("near_next"))
+    packed = got.select("_b", "_n", "_e", "_c", "_id", "n_chars", sha.alias("_sha"), "_s")
+    packed = packed.select("*", F.lead("_s", 1).over(beside).alias("_es"), F.lead("_sha", 1).over(beside).alias("_esha"), F.lead("_s", 2).over(beside).alias("_ns")).where("_e = 0 and _c = 0")
+    return packed.select(F.col("_id").alias("doc_id"), "n_chars", F.col("_esha").alias("edited_sha256"), printed(F.col("_s")).alias("fingerprint"), printed(F.col("_es")).alias("edited_fingerprint"), likeness("_s", "_es", n).alias("near_edited"), likeness("_s", "_ns", n).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
