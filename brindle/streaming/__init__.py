@@ -1,0 +1 @@
+"""The dialect has no streaming statements; tables that a session writes are plain Parquet and can be read as streams by Spark."""
