@@ -25,6 +25,8 @@ from .common import materialise, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources are configuration, not data: their table is held on the driver only up to this many.
 MOST_SOURCES = 1_000_000
+#: Tables of at most so many sources (a few MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -80,18 +82,19 @@ def cuts(sized: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
         rest = want[r.source] - whole * r.n if whole < epochs else 0.0
         plan.append((r.source, r.n, want[r.source], whole, float(rest), int(r.c**0.5) + 1))
     plans = spark.createDataFrame(plan, PLAN)
+    sent = F.broadcast if len(rows) <= BROADCAST_SOURCES else lambda df: df  # a hot source's rows then stay where they are
     same = F.col("source").eqNullSafe(F.col("_s"))
-    ranged = sized.join(plans.select("_s", "_rest", "_ranges").where("_rest > 0"), same).withColumn("_range", F.floor(F.col("_at") * F.col("_ranges")))
+    ranged = sized.join(sent(plans.select("_s", "_rest", "_ranges").where("_rest > 0")), same).withColumn("_range", F.floor(F.col("_at") * F.col("_ranges")))
     sums = ranged.groupBy("_s", "_rest", "_range").agg(F.sum("_size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     ends = sums.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest")))
     ends = ends.select(F.col("_s").alias("_e"), F.col("_range").alias("_end"), "_before")
-    last = ranged.join(ends, F.col("_s").eqNullSafe(F.col("_e")) & (F.col("_range") == F.col("_end")))
+    last = ranged.join(sent(ends), F.col("_s").eqNullSafe(F.col("_e")) & (F.col("_range") == F.col("_end")))
     units = last.groupBy("_s", "_rest", "_before", "_key", "_id").agg(F.sum("_size").alias("n"))
     through = F.sum("n").over(Window.partitionBy("_s").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = units.withColumn("_through", through).where(F.col("_before") + F.col("_through") - F.col("n") / 2 <= F.col("_rest"))
     cut = taken.groupBy("_s").agg(F.max(F.struct("_key", "_id")).alias("_cut")).select(F.col("_s").alias("_c"), "_cut")
-    return plans.join(ends.drop("_before"), F.col("_s").eqNullSafe(F.col("_e")), "left").join(cut, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_e", "_c")
+    return sent(plans.join(ends.drop("_before"), F.col("_s").eqNullSafe(F.col("_e")), "left").join(cut, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_e", "_c"))
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
