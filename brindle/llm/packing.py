@@ -18,6 +18,8 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,26 +30,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, materialise, slices, table, tokenizer_file
+from .common import materialise, slices, table, tokenizer_file
 
 CAPACITY = 2048
-#: Texts with these go to the tokenizer whole: separators on which libraries differ, and strings of special tokens.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
-
-
-def encoder(path: str):
-    """A function from text to its ids as little-endian 32-bit words. The tokenizer splits at white space, so the ids of
-    a text are those of its words, which are cached."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    one = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    cache = Bounded(one)
-
-    def encode(text: str) -> bytes:
-        return one(text) if _ODD.search(text) else b"".join(map(cache.__getitem__, text.split()))
-
-    return encode
+#: Texts with these go to the tokenizer whole: separators on which libraries differ, and the start of special tokens.
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+_LETTERS = "a-zß-öø-ÿ"
+#: Where signs follow letters the tokenizer cuts too. An apostrophe may begin a contraction.
+_CUT = re.compile(rf"(?<=[{_LETTERS}])(?=[!-&(-/:-@\[-`{{-~])")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+
+class Encoder:
+    """From texts to their ids as little-endian 32-bit words. The tokenizer ignores case and splits at white space, so the
+    ids of a text are those of its words, which are cached. New words of plain letters are encoded many at a time and
+    told apart by the tokens that end a word."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tok, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return _CUT.sub(" ", text.lower()).split()
+
+    def learnt(self, new: set[str]) -> dict[str, bytes]:
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        out = {w: self.one(w) for w in new.difference(plain)}
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(to) == len(part):
+                out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *to[:-1]], to))))
+            else:  # a tokenizer without word ends
+                out.update((w, self.one(w)) for w in part)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        whole = [any(x in t for x in _ODD) if t else False for t in texts]
+        words = [[] if odd else self.words(t) for t, odd in zip(texts, whole)]
+        flat = list(itertools.chain.from_iterable(words))
+        got = list(map(self.cache.get, flat))
+        missing = [i for i, x in enumerate(got) if x is None]
+        new = self.learnt({flat[i] for i in missing})
+        for i in missing:
+            got[i] = new[flat[i]]
+        if len(self.cache) + len(new) > self.most:
+            self.cache.clear()
+        self.cache.update(new)
+        out, at = [], 0
+        for t, odd, ws in zip(texts, whole, words):
+            out.append(self.one(t) if odd else b"".join(got[at : at + len(ws)]))
+            at += len(ws)
+        return out
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """A worker's tasks share the tokenizer and its caches."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
@@ -63,8 +118,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
         step = 4 * capacity
         for batch, texts in slices(batches):
             at, rows, kept = [], [], []
-            for i, t in enumerate(texts):
-                buf = (encode(t) if t else b"") + b"\0\0\0\0"
+            for i, buf in enumerate(encode(texts)):
+                buf += b"\0\0\0\0"
                 for k, a in enumerate(range(0, len(buf), step)):
                     part = buf[a : a + step]
                     n = len(part) // 4
