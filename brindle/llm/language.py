@@ -14,6 +14,7 @@ labelled document every text is `und`. Repeated rows get equal results; an empty
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,15 +41,25 @@ def clean(word: str) -> str:
     return word
 
 
+def hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
+
+
+#: Hashes of affixes, n-grams and languages, which recur from word to word.
+_HASHES = Bounded(hashed, 100_000)
+
+
 def word_features(word: str, lexicon: dict[str, int], bits: int = BITS) -> list[int]:
     """SLOTS hashed features; slot 0 of the table is the padding, whose weights stay 0."""
     w = f"^{word}$"
-    names = [f"w{word}", *(f"p{w[:k]}" for k in (2, 3, 4)), *(f"s{w[-k:]}" for k in (2, 3, 4))]
+    names = ["p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:]]
     if word in lexicon:
         names.append(f"l{lexicon[word]}")
-    grams = dict.fromkeys(f"g{w[i:i + 3]}" for i in range(len(w) - 2))
-    names += list(grams)[: SLOTS - len(names)]
-    ids = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % ((1 << bits) - 1) + 1 for x in names]
+    grams = dict.fromkeys([w[i : i + 3] for i in range(len(w) - 2)])
+    names += ["g" + x for x in itertools.islice(grams, SLOTS - 1 - len(names))]
+    ids = [hashed("w" + word) % ((1 << bits) - 1) + 1]
+    for x in map(_HASHES.__getitem__, names):
+        ids.append(x % ((1 << bits) - 1) + 1)
     return ids + [0] * (SLOTS - len(ids))
 
 
@@ -66,9 +77,47 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict[str, int]):
         self.languages, self.weights, self.trans, self.start, self.lexicon = languages, weights, trans, start, lexicon
 
-    def emission(self, word: str) -> np.ndarray | None:
-        w = clean(word)
-        return self.weights[word_features(w, self.lexicon)].sum(0) if w else None
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """A row for each of the cleaned words."""
+        out = np.zeros((len(words), len(self.languages)))
+        for i in range(0, len(words), 8192):
+            ids = [word_features(w, self.lexicon) for w in words[i : i + 8192]]
+            out[i : i + 8192] = self.weights[np.array(ids, np.int64)].sum(1)
+        return out
+
+
+class Emissions:
+    """Emissions of words, cached; words that differ in case or in the signs at their ends share a row."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        self.model, self.most = model, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}  # -1: no letter
+        self.known: dict[str, int] = {"": -1}
+        self.parts = [np.zeros((0, len(self.model.languages)))]
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the words that hold a letter, text after text, and how many each text has."""
+        if len(self.rows) > self.most:
+            self.forget()
+        split = [(t or "").split() for t in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        got = list(map(self.rows.get, flat))
+        missing = [i for i, x in enumerate(got) if x is None]
+        cleaned = {w: clean(w) for w in {flat[i] for i in missing}}
+        new = list(set(cleaned.values()).difference(self.known))
+        self.known.update(zip(new, range(sum(map(len, self.parts)), 1 << 62)))
+        self.parts = [np.concatenate([*self.parts, self.model.emissions(new)])]
+        self.rows.update((w, self.known[c]) for w, c in cleaned.items())
+        for i in missing:
+            got[i] = self.rows[flat[i]]
+        at = np.array(got, np.int64)
+        live = at >= 0
+        sizes = np.array([len(ws) for ws in split], np.int64)
+        lengths = np.bincount(np.repeat(np.arange(len(split)), sizes)[live], minlength=len(split))
+        return self.parts[0][at[live]], lengths
 
 
 def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch: int = 128, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Model | None:
@@ -201,34 +250,13 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
     inner = [c for c in dict.fromkeys([*keep, "text"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        L = len(model.languages) if model else 0
-        table_ = np.zeros((1 << 12, max(L, 1)))
-        used = [0]
-
-        def row(word: str) -> int:  # the word's row in table_; -1 if it holds no letter
-            nonlocal table_
-            e = model.emission(word)
-            if e is None:
-                return -1
-            if used[0] == len(table_):
-                table_ = np.concatenate([table_, np.zeros_like(table_)])
-            table_[used[0]] = e
-            used[0] += 1
-            return used[0] - 1
-
-        cache = Bounded(row, 1 << 62)
+        cache = Emissions(model) if model else None
         for batch, texts in slices(batches, most=8_000_000):
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             if model:
-                if len(cache) > 200_000:
-                    cache.clear()
-                    table_, used[0] = np.zeros((1 << 12, L)), 0
-                ids = [np.fromiter(map(cache.__getitem__, (t or "").split()), np.int64) for t in texts]
-                ids = [x[x >= 0] for x in ids]
-                lengths = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate(ids)
-                if len(flat):
-                    post = posteriors(table_[flat], lengths, model.trans, model.start)
+                rows, lengths = cache.of(texts)
+                if len(rows):
+                    post = posteriors(rows, lengths, model.trans, model.start)
                     best = post.argmax(1)
                     for i in np.flatnonzero(lengths):
                         names[i], scores[i] = model.languages[best[i]], min(1.0, float(post[i, best[i]] / lengths[i]))
