@@ -60,6 +60,13 @@ def test_packing(spark, docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    texts = ["a<|endoftext|>b", "a\x1cb", "don't I'll 'S x's foo!'s can't. a-b (c) x1 1x", "É ﬁ ① ß İstanbul ſ x_y á ́b", "a\x85B\xa0ÀÞ×÷ÿ.", "ΣΑΣ. Σας", "x" * 5000, None, "", " "] + ["Common words, common Words!"] * 3
+    encode = packing.Encoder(packing.tokenizer_file(), most=4)  # so small that the cache is emptied all the time
+    want = [encode.one(t) if t else b"" for t in texts]
+    assert encode(texts) == want and [encode([t])[0] for t in texts] == want
+
+
 def test_sweep_is_best_fit_decreasing():
     rng = np.random.default_rng(1)
     for cap in (10, 50):
@@ -115,6 +122,20 @@ def test_language(docs, none):
         assert np.allclose(got[d], want / total if n else want)
 
 
+def test_emissions_are_those_of_the_words():
+    model = language.fit([("the cat sat on the mat", "en"), ("der hund saß auf der matte", "de")] * 5)
+    texts = ["The cat, THE hund!", None, "", "123 --", "Matte x1 der"]
+    for most in (0, 100):
+        cache = language.Emissions(model, most)
+        for t in (texts, texts[::-1], texts[:1]):
+            rows, lengths = cache.of(t)
+            words = [[c for c in map(language.clean, (x or "").split()) if c] for x in t]
+            want = [model.weights[language.word_features(w, model.lexicon)].sum(0) for ws in words for w in ws]
+            assert lengths.tolist() == list(map(len, words)) and np.allclose(rows, want)
+    rows, lengths = language.Emissions(model).of(["12", None])
+    assert not len(rows) and lengths.tolist() == [0, 0]
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://A.Example.COM/en/7x?q", "https://example.com/en/8", "x://y.net/de/8", "x://example.net/de/81", "http://org/es/1#/en/", "http://com?/en/", "http://m.com/fr/1"]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
