@@ -37,6 +37,13 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
+def exact_type(vecs: np.ndarray, asked: np.ndarray) -> type:
+    """The fastest type in which all sums of bounds and products are exact integers."""
+    most = lambda x: max(int(x.max()), -int(x.min())) if x.size else 0
+    bound = 4 * vecs.shape[1] * most(vecs) * most(asked)
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+
+
 def maxscore(q: np.ndarray, vecs: np.ndarray, post: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of vecs with the k best scores (ties to smaller ids), and the scores. post: vecs transposed, one posting list a term."""
     a, b = q * low, q * high
@@ -62,17 +69,25 @@ def maxscore(q: np.ndarray, vecs: np.ndarray, post: np.ndarray, low: np.ndarray,
         ess = max(ess, min(len(terms), 16))
         e = terms[:ess]
         total = q[e] @ post[e] - int(least[e].sum()) + base
-        tail = np.append(rest, 0)
+        tail = np.append(rest, rest.dtype.type(0))
         rows = np.flatnonzero(other & (total + tail[ess] >= need))
         sums = total[rows]
-        for i in range(ess, len(terms), 4):
-            t = terms[i : i + 4]
-            sums = sums + q[t] @ post[t][:, rows] - int(least[t].sum())
-            keep = sums + tail[min(i + 4, len(terms))] >= need
-            rows, sums = rows[keep], sums[keep]
+        i = ess
+        while i < len(terms):
+            many = 4 * len(rows) > len(ids)  # most are still competitive: traversing the lists is cheaper than probing them
+            t = terms[i : i + (16 if many else 4)]
+            i += len(t)
+            if many:
+                total = total + q[t] @ post[t] - int(least[t].sum())
+                rows = np.flatnonzero(other & (total + tail[i] >= need))
+                sums = total[rows]
+            else:
+                sums = sums + q[t] @ post[t][:, rows] - int(least[t].sum())
+                keep = sums + tail[i] >= need
+                rows, sums = rows[keep], sums[keep]
     score = vecs[rows] @ q
     best = np.lexsort((ids[rows], -score))[:k]
-    return rows[best], score[best]
+    return rows[best], score[best].astype(np.int64)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -91,12 +106,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD,
         for dim, own in by.items():
             ids = np.array([i for i, _ in own], np.int64)
             vecs = np.array([v for _, v in own], np.int64).reshape(len(own), dim)
+            wanted = [(j, v) for j, v in queries if len(v) == dim]
+            asked = np.array([v for _, v in wanted], np.int64).reshape(len(wanted), dim)
+            kind = exact_type(vecs, asked)
+            vecs, asked = vecs.astype(kind), asked.astype(kind)
             post = np.ascontiguousarray(vecs.T)
-            low, high = (vecs.min(0), vecs.max(0)) if len(vecs) else (np.zeros(dim, np.int64),) * 2
-            for j, v in queries:
-                if len(v) == dim:
-                    at, score = maxscore(np.array(v, np.int64), vecs, post, low, high, ids, j, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j)), pa.array(ids[at]), pa.array(score)], schema=_OUT)
+            low, high = (vecs.min(0), vecs.max(0)) if len(vecs) else (np.zeros(dim, kind),) * 2
+            for (j, _), q in zip(wanted, asked, strict=True):
+                at, score = maxscore(q, vecs, post, low, high, ids, j, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j, np.int64)), pa.array(ids[at]), pa.array(score)], schema=_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
