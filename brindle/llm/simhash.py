@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, table
 from .components import components
+from .neardup import deduplicated  # noqa: F401
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -299,27 +300,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, most: int = 2) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The stage's fingerprints: distinct words, 192 bits. Texts whose five-word shingles have similarity 0.8 or more differ
-#: in 12 bits in the median and seldom over 22; unrelated texts in over 30.
-NEAR_SEEDS, NEAR_BITS = (42, 43, 44), 22
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each group (connected by links) the row with the smallest id stays. A row is known
-    by its id and text; rows alike in both count once."""
-    width = len(NEAR_SEEDS)
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    prints = fingerprints(marked, 1, NEAR_SEEDS, distinct=True, keep=("doc_id", "_h"))
-    prints = materialise(prints.withColumn("node", F.xxhash64(*[f"f{i}" for i in range(width)])))
-    groups = classes(prints, tables_for_near(64 * width), width, NEAR_BITS)
-    grouped = prints.select("doc_id", "_h", "node").join(groups, F.col("node") == F.col("_n"))
-    # one row of each group: the smallest (id, hash); a null component has null ids only
-    keep = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_n")).alias("g")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "_h"))).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_d"), F.col("k._h").alias("_k"))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")))
-    once = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(1)))
-    return kept.withColumn("_once", once).where("_once = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
