@@ -9,9 +9,8 @@ neighbouring segments with no error in the one and one at most in the other: the
 miss no link. Buckets are joined in sorted streams and verified by counting differing bits; a bucket gives a spanning
 forest of its links, not all pairs.
 
-Buckets over `hot` fingerprints are not paired: exact mode files their fingerprints under themselves and all 64
-neighbours at one bit, where all members of a bucket are linked to each other and a star per bucket loses nothing; near
-mode (wide fingerprints) links members to leaders. Equal fingerprints are collapsed beforehand, with their smallest id.
+Buckets over `hot` fingerprints are not paired: their fingerprints are filed under themselves and all 64 neighbours at one
+bit, where all members of a bucket are linked to each other and a star per bucket loses nothing. Equal fingerprints are collapsed beforehand, with their smallest id.
 
 Nulls: a null text is empty; without a word the fingerprint is zero, and linked like any other. A null id never becomes a
 component's id unless all ids are null. Repeated rows get the same result; an empty table gives an empty one.
@@ -169,9 +168,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
-    """Of keys(): u, v, a spanning forest of each bucket's links; v is null where u was in a hot bucket (exact mode)."""
-    exact_mode = width == 1
-
+    """Of keys(): u, v, a spanning forest of each bucket's links; v is null where u was in a hot bucket."""
     def pair(asks: np.ndarray, node: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         filed = node[~asks]
         node, first = np.unique(node, return_index=True)
@@ -190,35 +187,12 @@ def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
         at, to = _forest(i, j, len(node)) if len(i) else (i, j)
         return node[at], node[to]
 
-    def lead(node: np.ndarray, words: np.ndarray, leaders: list) -> tuple[np.ndarray, np.ndarray]:
-        """Links of a hot bucket's members to its leaders; a member without one becomes one."""
-        u, v = [], []
-        left = np.arange(len(node))
-        k = 0
-        while len(left):
-            if k == len(leaders):
-                leaders.append((node[left[0]], words[left[0]]))
-            who, w = leaders[k]
-            near = np.bitwise_count(words[left] ^ w).sum(1) <= most
-            hit = left[near]
-            u.append(node[hit])
-            v.append(np.full(len(hit), who))
-            left = left[~near]
-            k += 1
-        u, v = np.concatenate(u), np.concatenate(v)
-        return u[u != v], v[u != v]
-
     def out(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
-        leaders, hot_key = [], None
-
-        def hot_rows(node, words):
-            if exact_mode:
-                return out(np.unique(node), None)
-            return out(*lead(node, words, leaders))
+        hot_key = None
 
         def groups(key, asks, node, words):
             bounds = np.flatnonzero(np.diff(key)) + 1
@@ -228,8 +202,7 @@ def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
             us, vs = [], []
             for a, b in zip(starts[some & owned], ends[some & owned], strict=True):
                 if b - a > hot:
-                    yield hot_rows(node[a:b], words[a:b])
-                    leaders.clear()
+                    yield out(np.unique(node[a:b]), None)
                     continue
                 u, v = pair(asks[a:b], node[a:b], words[a:b])
                 if len(u):
@@ -246,11 +219,10 @@ def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
             if hot_key is not None:  # the bucket that was too large to hold goes on
                 n = int(np.searchsorted(key != hot_key, True))
                 if n:
-                    yield hot_rows(node[:n], words[:n])
+                    yield out(np.unique(node[:n]), None)
                 if n == len(key):
                     continue
                 key, asks, node, words, hot_key = key[n:], asks[n:], node[n:], words[n:], None
-                leaders.clear()
             if carry is not None:
                 key, asks, node, words = (np.concatenate([x, y]) for x, y in zip(carry, (key, asks, node, words), strict=True))
             last = int(np.searchsorted(key, key[-1], side="left"))
@@ -258,7 +230,7 @@ def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
                 yield from groups(key[:last], asks[:last], node[:last], words[:last])
             carry = [key[last:], asks[last:], node[last:], words[last:]]
             if len(carry[0]) > hot:
-                yield hot_rows(carry[2], carry[3])
+                yield out(np.unique(carry[2]), None)
                 hot_key, carry = carry[0][0], None
         if carry is not None and len(carry[0]):
             yield from groups(*carry)
@@ -277,9 +249,7 @@ def neighbours(prints: DataFrame) -> DataFrame:
 def linked(prints: DataFrame, tables: list[Table], width: int, most: int, hot: int = HOT) -> DataFrame:
     """prints: distinct node, f0, ... node and root of every node with a link."""
     found = materialise(links(keys(prints, tables, width), width, most, hot))
-    edges = found.where("v is not null")
-    if width == 1:
-        edges = edges.unionByName(neighbours(found.where("v is null").select("u").distinct()))
+    edges = found.where("v is not null").unionByName(neighbours(found.where("v is null").select("u").distinct()))
     return components(edges)
 
 
