@@ -107,15 +107,6 @@ def tables_for_two() -> list[Table]:
     return [(*a, *b), (*b, *c), (*c, *a)]
 
 
-def tables_for_near(bits: int, exact: int = 14) -> list[Table]:
-    """Two tables per Golay segment of a wide fingerprint, with exact segments elsewhere."""
-    out = []
-    for g in range(bits // 23):
-        free = [x for x in range(0, bits - exact + 1) if x + exact <= 23 * g or x >= 23 * (g + 1)]
-        out += [(free[(g * 29 + s) % len(free)], exact, 23 * g, 23) for s in (3, 3 + len(free) // 2)]
-    return out
-
-
 def segment(words: np.ndarray, at: int, n: int) -> np.ndarray:
     """Bits at .. at + n of fingerprints given as unsigned words (rows)."""
     i, s = divmod(at, 64)
