@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Samples, in groups of GROUP.
-SAMPLES, GROUP = 32, 1
+SAMPLES, GROUP = 64, 1
 #: Bits of a sample in the fingerprint; in ranking, bits above them hold the rank.
 HASH_BITS = 20
 
