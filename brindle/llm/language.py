@@ -1,7 +1,8 @@
 """Language ID: a linear-chain conditional random field that labels the words of code-switched text.
 
 A word's features are the word itself, its affixes and letter n-grams (hashed) and the lexicon's language for it;
-transitions between languages are learned. Training sequences are built from the sampled texts by joining pieces of
+transitions between languages are learned. Words of over PIECE letters, as in text without spaces, are cut into consecutive
+pieces, each labelled like a word; so every letter counts. Training sequences are built from the sampled texts by joining pieces of
 different documents, so that transitions are seen. Words are labelled by forward-backward over the whole text; a text's
 language is the one with the largest mean posterior over its words, its score that mean.
 
@@ -28,7 +29,15 @@ from .common import Bounded, held_out, slices, table
 
 BITS = 16
 PER_LANGUAGE, WORDS, MOST_LANGUAGES = 300, 200, 200
-SEQUENCES, STEPS, SLOTS = 6000, 24, 16
+PIECE, SEQUENCES, STEPS = 24, 6000, 24
+
+
+def pieces(text: str | None) -> list[str]:
+    """The words of a text; words of over PIECE letters are cut into consecutive pieces, each labelled like a word."""
+    words = (text or "").split()
+    if words and max(map(len, words)) > PIECE:
+        return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    return words
 
 
 def clean(word: str) -> str:
@@ -50,24 +59,25 @@ _HASHES = Bounded(hashed, 100_000)
 
 
 def word_features(word: str, lexicon: dict[str, int], bits: int = BITS) -> list[int]:
-    """SLOTS hashed features; slot 0 of the table is the padding, whose weights stay 0."""
+    """The hashed features: the word, its affixes, its language in the lexicon and all its trigrams. Row 0 of the table is
+    padding, whose weights stay 0."""
     w = f"^{word}$"
     names = ["p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:]]
     if word in lexicon:
         names.append(f"l{lexicon[word]}")
     grams = dict.fromkeys([w[i : i + 3] for i in range(len(w) - 2)])
-    names += ["g" + x for x in itertools.islice(grams, SLOTS - 1 - len(names))]
+    names += ["g" + x for x in grams]
     ids = [hashed("w" + word) % ((1 << bits) - 1) + 1]
     for x in map(_HASHES.__getitem__, names):
         ids.append(x % ((1 << bits) - 1) + 1)
-    return ids + [0] * (SLOTS - len(ids))
+    return ids
 
 
 def lexicon_of(texts: list[tuple[str, int]]) -> dict[str, int]:
     """Words seen at least 3 times, nine tenths of these in one language."""
     seen: dict[str, Counter] = defaultdict(Counter)
     for text, y in texts:
-        for w in map(clean, text.split()[:WORDS]):
+        for w in map(clean, pieces(text)[:WORDS]):
             if w:
                 seen[w][y] += 1
     return {w: c.most_common(1)[0][0] for w, c in seen.items() if (n := sum(c.values())) >= 3 and c.most_common(1)[0][1] >= 0.9 * n}
@@ -82,7 +92,8 @@ class Model:
         out = np.zeros((len(words), len(self.languages)))
         for i in range(0, len(words), 8192):
             ids = [word_features(w, self.lexicon) for w in words[i : i + 8192]]
-            out[i : i + 8192] = self.weights[np.array(ids, np.int64)].sum(1)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+            out[i : i + 8192] = np.add.reduceat(self.weights[flat], np.cumsum([0, *map(len, ids[:-1])]))
         return out
 
 
@@ -102,7 +113,7 @@ class Emissions:
         """The rows of the words that hold a letter, text after text, and how many each text has."""
         if len(self.rows) > self.most:
             self.forget()
-        split = [(t or "").split() for t in texts]
+        split = list(map(pieces, texts))
         flat = list(itertools.chain.from_iterable(split))
         got = list(map(self.rows.get, flat))
         missing = [i for i, x in enumerate(got) if x is None]
@@ -129,15 +140,16 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
     coded = [(t, code[y]) for t, y in texts]
     lexicon = lexicon_of(coded)
     L, rng = len(languages), np.random.default_rng(seed)
-    words = [[w for w in map(clean, t.split()[:WORDS]) if w] for t, _ in coded]
+    words = [[w for w in map(clean, pieces(t)[:WORDS]) if w] for t, _ in coded]
     by = [[i for i, (_, y) in enumerate(coded) if y == k and words[i]] for k in range(L)]
     live = [k for k in range(L) if by[k]]
     W, A, s = np.zeros((1 << bits, L)), np.zeros((L, L)), np.zeros(L)
     model = Model(languages, W, A, s, lexicon)
     if not live or L == 1:
         return model
-    cache: dict[str, list[int]] = {}
-    feats = np.zeros((SEQUENCES, STEPS, SLOTS), np.int64)
+    cache = {w: word_features(w, lexicon, bits) for w in set(itertools.chain.from_iterable(words))}
+    slots = max(map(len, cache.values()))
+    feats = np.zeros((SEQUENCES, STEPS, slots), np.int64)
     gold = np.zeros((SEQUENCES, STEPS), np.int64)
     for q in range(SEQUENCES):
         at = 0
@@ -147,10 +159,8 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             n = min(int(rng.integers(4, STEPS)), STEPS - at, len(own))
             i = int(rng.integers(len(own) - n + 1))
             for w in own[i : i + n]:
-                if w not in cache:
-                    # a lexicon entry is hidden now and then, so that unseen words are learned from their letters
-                    cache[w] = word_features(w, lexicon, bits)
-                feats[q, at], gold[q, at] = cache[w], k
+                # the word itself is hidden now and then (below), so that unseen words are learned from their letters
+                feats[q, at, : len(cache[w])], gold[q, at] = cache[w], k
                 at += 1
     hide = rng.random((SEQUENCES, STEPS)) < 0.3
     feats[hide, 0] = 0
@@ -181,7 +191,7 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             dA = (np.einsum("nti,ntj->ij", eye[y[:, :-1]], eye[y[:, 1:]]) - pair.sum((0, 1))) / n - l2 * A
             ds = (eye[y[:, 0]] - post[:, 0]).sum(0) / n - l2 * s
             at, back = np.unique(f, return_inverse=True)
-            dW = np.stack([np.bincount(back.ravel(), weights=np.repeat(de[:, :, k].ravel(), SLOTS), minlength=len(at)) for k in range(L)], 1) - l2 * W[at]
+            dW = np.stack([np.bincount(back.ravel(), weights=np.repeat(de[:, :, k].ravel(), slots), minlength=len(at)) for k in range(L)], 1) - l2 * W[at]
             gW[at] += dW**2
             W[at] += rate * dW / np.sqrt(gW[at])
             W[0] = 0
@@ -239,7 +249,8 @@ def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, res
     for r in counts:
         share = F.when(F.col("lang") == r.lang, F.lit(per_language / r["count"])).otherwise(share)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(3), F.col("doc_id")), 11).cast("double") / float(2**53)
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, WORDS), " ")  # bounds what a sampled row sends to the driver
+    # bounds what a sampled row sends to the driver; holds its first WORDS pieces
+    words = F.substring(F.array_join(F.slice(F.split("text", r"\s+"), 1, WORDS), " "), 1, WORDS * (PIECE + 1))
     rows = known.where(u < share).select("doc_id", words.alias("text"), "lang").collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))]
 
