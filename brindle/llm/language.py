@@ -10,7 +10,7 @@ The model is fitted on the driver on a bounded sample (`per_language` documents
 words of each). Forward-backward runs in numpy over many texts at once, step by step, on packed sequences.
 
 Nulls: a null text or one without a letter is `und` with score 0; documents with null lang teach nothing. Without any
-labelled document every text is `und`. Repeated rows get equal results; an empty table gives an empty one.
+labelled document every text is `und`; more than MOST_LANGUAGES labelled languages are an error. Repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -242,9 +242,11 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, st
 def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, rest: int = 2) -> list[tuple[str, str]]:
     """About per_language (text, lang) of each language, chosen by hash of the id; held-out documents are left alone."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", mod, rest))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages")
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r.lang, F.lit(per_language / r["count"])).otherwise(share)

@@ -1,6 +1,7 @@
 """op3 reads whole words and whole texts without spaces."""
 
 import numpy as np
+import pytest
 from brindle.llm import language
 
 PAIRS = [("the cat sat on the mat with another dog", "en"), ("der hund saß auf der matte mit einem vogel", "de")] * 10
@@ -20,3 +21,11 @@ def test_text_without_spaces_is_labelled_whole():
     assert lengths[0] == -(-len(text) // 24)
     post = language.posteriors(rows, lengths, model.trans, model.start)
     assert model.languages[int(np.argmax(post[0]))] == "en"
+
+
+def test_no_language_is_dropped(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    assert {y for _, y in language.sampled(df)} == {"l0", "l1", "l2"}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language.sampled(df)
