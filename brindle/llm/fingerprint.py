@@ -1,10 +1,10 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
 A text is the weighted set of its words (weight: how often). For each of `samples` samples, a word k of weight w draws
-r and c of Gamma(2, 1) and b of U(0, 1) from hashes of k, takes t = floor(ln w / r + b) and the rank
-c * exp(-r * (t - b + 1)); the word of least rank, with its t, is the sample. Two texts agree in a sample with a probability equal to the
-generalised Jaccard similarity of their weighted sets (sum of smaller over sum of larger weights). A Gamma draw is
-the sum of two exponential ones, each made of a geometric number of halvings and a remainder, which takes no logarithm.
+r and c of Gamma(2, 1) and b of U(0, 1) from one hash of k and the sample, takes t = floor(ln w / r + b) and the rank
+ln c - r (t - b + 1); the word of least rank, with its t, is the sample. Two texts agree in a sample with a probability equal to
+the generalised Jaccard similarity of their weighted sets (sum of smaller over sum of larger weights). A Gamma draw is
+looked up by an octave of its tail probability (a geometric draw) and a part of the octave, so its tails, which decide long texts, are fine.
 
 `edited` pairs every text with an edited one and with the next document in descending order of id. Texts are dealt out
 once, by ranges of the id (bounds: approximate quantiles); each range also gets a copy of the first document of the
@@ -23,27 +23,31 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Samples, in groups of GROUP.
-SAMPLES, GROUP = 64, 1
+#: Samples, of which GROUP share a row while they are drawn.
+SAMPLES, GROUP = 64, 4
 #: Bits of a sample in the fingerprint; in ranking, bits above them hold the rank.
 HASH_BITS = 20
+#: A uniform draw is OCTAVES - 1 bits, whose trailing zeros choose an octave [2^-(m + 1), 2^-m), and PART bits within it.
+OCTAVES, PART = 19, 6
+#: What is left of 64 bits after two such draws.
+REST = 64 - 2 * (OCTAVES - 1 + PART)
 
 
-def _fit(curve: np.ndarray, x: np.ndarray) -> list[float]:
-    return [float(c) for c in np.polyfit(x, curve, 4)[::-1]]
+def _gamma(upper: bool) -> np.ndarray:
+    """Gamma(2, 1) at the middle of each part of each octave of its upper or lower tail probability, by bisection."""
+    m, f = np.divmod(np.arange(OCTAVES << PART), 1 << PART)
+    u = 2.0 ** -(m + 1.0) * (1 + (f + 0.5) / (1 << PART))
+    low, high = np.zeros(len(u)), np.full(len(u), 60.0)
+    for _ in range(100):
+        x = (low + high) / 2
+        right = (1 + x) * np.exp(-x) > u if upper else -np.expm1(-x) - x * np.exp(-x) < u
+        low, high = np.where(right, x, low), np.where(right, high, x)
+    return (low + high) / 2
 
 
-_GRID = np.linspace(0.0, 1.0, 2001)
-#: Polynomials for -log2(1 - x / 2) / x and 2^-x on [0, 1]; their error is below 1e-4.
-_REST = _fit(-np.log2(1 - _GRID[1:] / 2) / _GRID[1:], _GRID[1:])
-_HALVE = _fit(2.0**-_GRID, _GRID)
-
-
-def _poly(x: Column, c: list[float]) -> Column:
-    out = F.lit(c[-1])
-    for k in c[-2::-1]:
-        out = out * x + F.lit(k)
-    return out
+def _table(values: np.ndarray) -> Column:
+    """An array literal, as one constant."""
+    return F.split(F.lit(",".join(f"{x:.7f}" for x in values)), ",").cast("array<double>")
 
 
 def weighted_terms(text: Column) -> Column:
@@ -62,40 +66,26 @@ def samples(rows: DataFrame, keys: list[str], text: str, carried: list[str], n:
     words = words.withColumn("_i", F.when(last >= 0, starts))
     runs = F.transform("_i", lambda i, j: F.struct(F.get("_w", i).alias("k"), (F.log((F.coalesce(F.get("_i", j + 1), F.size("_w")) - i).cast("double")) / float(np.log(2))).alias("lw")))
     terms = words.select(*keys, *carried, F.explode_outer(runs).alias("_t")).select(*keys, *carried, F.col("_t.k").alias("_k"), F.col("_t.lw").alias("_lw"))
-    # GROUP samples to a row: few enough columns for generated code, one hash lookup for all of them. Each step is a
-    # projection of its own, so that no expression is computed twice.
-    span = range(GROUP)
-    rest = [*keys, *carried, "_lw", "_j"]
     at = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(n // GROUP - 1))).alias("_j"))
-    at = at.select(*rest, *[F.xxhash64("_k", "_j", F.lit(i)).alias(f"h{i}_") for i in span])
-    at = at.select(*rest, *[f"h{i}_" for i in span], *[F.xxhash64(f"h{i}_").alias(f"g{i}_") for i in span])
-
-    def half(h: str, low: int) -> list[Column]:
-        """A geometric draw (trailing ones of 14 bits) and a uniform one (14 bits)."""
-        bits = F.shiftrightunsigned(h, low)
-        ones = bits.bitwiseAND(F.lit(0x3FFF))
-        return [(F.bit_count(ones.bitwiseXOR(ones + 1)) - 1).cast("double"), F.shiftrightunsigned(h, low + 14).bitwiseAND(F.lit(0x3FFF)).cast("double") * (1 / 16384) + (0.5 / 16384)]
-
-    def both(h: str) -> Column:
-        """A Gamma(2, 1) draw in units of ln 2: two exponential draws, each a geometric one (halvings) and the rest."""
-        (a, x), (b, y) = half(h, 0), half(h, 28)
-        return a + b + x * _poly(x, _REST) + y * _poly(y, _REST)
-
-    uniform = lambda i: F.shiftrightunsigned(f"h{i}_", 56).bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"g{i}_", 56), 8)).cast("double") * (1 / 65536)
-    at = at.select(*rest, *[F.shiftrightunsigned(f"g{i}_", 4).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias(f"m{i}_") for i in span], *[both(f"h{i}_").alias(f"r{i}_") for i in span], *[both(f"g{i}_").alias(f"c{i}_") for i in span], *[uniform(i).alias(f"b{i}_") for i in span])
-    at = at.select("*", *[F.floor(F.col("_lw") / F.col(f"r{i}_") + F.col(f"b{i}_")).alias(f"t{i}_") for i in span])
-    at = at.select(*rest, *[F.col(f"{x}{i}_") for x in "mct" for i in span], *[(F.col(f"r{i}_") * (F.col(f"t{i}_") - F.col(f"b{i}_") + 1.0)).alias(f"x{i}_") for i in span])
-    at = at.select("*", *[F.floor(f"x{i}_").alias(f"n{i}_") for i in span])
-
-    def whole(i: int) -> Column:
-        """The rank c * 2^-x as a number of 43 bits, above the sample's mark."""
-        halvings = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col(f"n{i}_"), F.lit(62).cast("long")).cast("int")).cast("double")
-        rank = F.col(f"c{i}_") * _poly(F.col(f"x{i}_") - F.col(f"n{i}_"), _HALVE) / halvings
-        mark = F.col(f"m{i}_").bitwiseXOR(F.col(f"t{i}_").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-        return F.shiftleft((F.least(rank, F.lit(31.9)) * float(1 << 38)).cast("long"), HASH_BITS).bitwiseOR(mark)
-
-    least = at.groupBy(*keys, "_j").agg(*[F.max(c).alias(c) for c in carried], *[F.min(whole(i)).alias(f"v{i}") for i in span])
-    values = F.array(*[F.coalesce(F.col(f"v{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), F.lit(-1).cast("long")) for i in span])
+    rate, log_c = _table(_gamma(True) / np.log(2)), _table(np.log2(_gamma(False)))
+
+    def rank(j: Column) -> Column:
+        """The rank log2 c - r (t - b + 1) as a number above the sample's mark, from one hash of term and sample."""
+        h = F.xxhash64(j, "_k")
+
+        def drawn(low: int) -> Column:
+            bits = F.shiftrightunsigned(h, low).bitwiseOR(F.lit(1 << (OCTAVES - 1)))
+            octave = F.bit_count(bits.bitwiseXOR(bits - 1)) - 1
+            return octave * (1 << PART) + F.shiftrightunsigned(h, low + OCTAVES - 1).bitwiseAND(F.lit((1 << PART) - 1)).cast("int")
+
+        r, c = F.get(rate, drawn(0)), F.get(log_c, drawn(OCTAVES - 1 + PART))
+        b = F.shiftrightunsigned(h, 64 - REST).cast("double") * 2.0**-REST + 2.0 ** -(REST + 1)
+        t = F.floor(F.col("_lw") / r + b)
+        mark = (F.col("_k") + t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+        return F.shiftleft(((c - r * (t - b + 1.0) + 128.0) * float(1 << 34)).cast("long"), HASH_BITS).bitwiseOR(mark)
+
+    least = at.groupBy(*keys, "_j").agg(*[F.max(c).alias(c) for c in carried], *[F.min(rank(F.col("_j") * GROUP + i)).alias(f"v{i}") for i in range(GROUP)])
+    values = F.array(*[F.coalesce(F.col(f"v{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), F.lit(-1).cast("long")) for i in range(GROUP)])
     parts = least.select(*keys, *carried, F.struct("_j", values.alias("v")).alias("_p"))
     out = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.sort_array(F.collect_list("_p")).alias("_p"))
     return out.select(*keys, *carried, F.flatten(F.transform("_p", lambda p: p["v"])).alias("_s"))
@@ -113,27 +103,32 @@ def likeness(a: str, b: str, n: int) -> Column:
 
 def ranged(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, _b (its range; 0 holds the largest ids), _copy: also of each range's next range, the first document."""
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
-    # as the cuts of a coarse and of a fine array, so that a lookup costs the root of their number
-    bounds = sorted(set(bounds), reverse=True)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if groups:
-        coarse = F.array(*[F.lit(g[0]) for g in groups])
-        fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-        at = F.size(F.filter(coarse, lambda x: x > F.col("doc_id")))
-        inner = F.size(F.filter(F.get(fine, at - 1), lambda x: x > F.col("doc_id")))
-        number = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+    cuts = ",".join(f"{i / ranges:.9f}" for i in range(1, ranges)) or "0.5"
+    at = F.split(F.lit(cuts), ",").cast("array<double>")
+    found, least, nulls = docs.agg(F.percentile_approx("doc_id", at, 10000), F.min("doc_id"), F.max(F.col("doc_id").isNull())).first()
+    bounds = sorted(set(found or []), reverse=True)
+    n = len(bounds)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if n:
+        # a coarse and a fine array, so that a lookup costs the root of their number; each is one constant
+        step = max(1, int(n**0.5))
+        groups = [bounds[i : i + step] for i in range(0, n, step)]
+        coarse = F.split(F.lit(",".join(str(g[0]) for g in groups)), ",").cast("array<long>")
+        fine = F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")
+        group = F.size(F.filter(coarse, lambda x: x > F.col("doc_id")))
+        inner = F.size(F.filter(F.split(F.get(fine, group - 1), ",").cast("array<long>"), lambda x: x > F.col("doc_id")))
+        number = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).when(group == 0, F.lit(0)).otherwise((group - 1) * step + inner)
     else:
-        number = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_b", number.cast("int"))
-    # the first document of each range (one row a range): largest id, then largest text
-    heads = own.select("doc_id", "_b").groupBy("_b").agg(F.max("doc_id").alias("_d")).select(F.col("_b").alias("_hb"), "_d")
-    order = Window.orderBy("_hb")
-    before = F.coalesce(F.lag("_hb").over(order), F.max("_hb").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("_hb", "_d", before.alias("_to"))
-    heads = own.join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_d")))  # a row for each range
-    heads = heads.groupBy("_to").agg(F.max(F.struct("doc_id", "text")).alias("h")).select("h.doc_id", "h.text", F.col("_to").alias("_b"), F.lit(True).alias("_copy"))
+        number = F.lit(n + 1)
+    own = own.withColumn("_b", number.cast("int"))
+    # bounds are ids of documents, so ranges 0 to n - 1 hold some; the last two may be empty
+    there = [*range(n), *[n] * bool(n and least < bounds[-1]), *[n + 1] * bool(nulls)]
+    # the first document of each range: largest id, then largest text
+    first = own.groupBy("_b").agg(F.max(F.struct("doc_id", "text")).alias("h"))
+    if there:
+        before = F.when(F.col("_b") == 0, F.lit(there[-1])).when(F.col("_b") == n + 1, F.lit((there[-2:-1] or there)[0])).otherwise(F.col("_b") - 1)
+        first = first.withColumn("_b", before.cast("int"))
+    heads = first.select("h.doc_id", "h.text", "_b", F.lit(True).alias("_copy"))
     return own.withColumn("_copy", F.lit(False)).unionByName(heads)
 
 
