@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many characters, which bounds a worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+ROWS_OF_A_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a temporary one if the session
+    runs in this process alone; else an error, as other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="brindle-", dir="/tmp")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/brindle-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: a cut of lineage that survives lost executors.
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: a cut of lineage that survives lost executors. `rows`, the
+    number of its (narrow) rows where that is known, keeps small tables from becoming many tiny files.
 
     checkpoint() would compute the plan twice (once for the action, once for the files).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(-(-rows // ROWS_OF_A_FILE) or 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,16 +60,39 @@ def clear(spark: SparkSession) -> None:
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cuts batches so that each slice holds about `most` characters; a longer text stands alone, whole."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
-            if size and size + n > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), side="right")))
+            yield batch.slice(start, end - start), column.slice(start, end - start).to_pylist()
+            start = end
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow that gives back, at its task's end, the memory that the worker's allocators have kept: workers
+    live on through later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that `taken` has (in any case)."""
+    have, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def held_out(key: str, mod: int, rest: int):

@@ -1,15 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity, bulk-synchronously.
 
 Every document is tokenised whole and closed by id 0; one longer than the capacity is cut into pieces of the capacity,
-the last of which may be shorter. Lengths are integers up to the capacity, so the range sort of documents and gaps is a
-counting sort: a document's place among its equals is its rank within its task (kept while tokenising) plus the counts
-of the tasks before, from a prefix sum over (task, length) counts. A third of all rows of one length is no hot key.
-
-The rounds sweep over the sorted length classes, longest first. A class's documents take the successor gap, the
-smallest that holds them; documents that want the same gaps are matched to them by rank, as many to a gap as fit; the
-gaps are updated and the sweep repeats until the class is placed, opening new sequences when no gap fits. A round's
-state is one counter for each length and gap size (bounded by the capacity, whatever the data), so the sweeps need no
-rows; matching every row to its place by class and rank is distributed.
+the last of which may be shorter. Pieces over half a capacity open a sequence each; the rest is placed in rounds. In a
+round, every gap offers slots for the largest piece that is left (at most about twice as many as there are pieces for a
+gap), and pieces and slots are sorted by size together, largest first. The sweep over them is a stack: a slot is pushed, a
+piece takes the slot on top, its successor: the smallest that holds it and that no larger piece has taken. It needs no
+sequential pass: a slot's level is the height of the stack after it, from prefix sums of counts by size and of a row's
+rank among its equals, and a piece at a level takes the last slot before it at that level. Pieces that find the stack
+empty stay for the next round; gaps give up what was placed in them; for pieces larger than every gap as many sequences
+are opened as the sum of their lengths fills.
+
+Sizes are integers up to the capacity, so the range sort is by size and salt: a third of all rows of one length is dealt
+into as many groups as there are shuffle partitions. The driver holds counts by size only, which the capacity bounds.
+A round is written to the shared folder, so lost executors cost a round at most.
 
 Nulls: a null text is empty (one piece, id 0). Repeated rows are packed as often as they occur. An empty table gives an
 empty result. Extra columns are ignored.
@@ -17,9 +20,9 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,29 +33,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, tokenizer_file
+from .common import materialise, slices, table, tidy, tokenizer_file
 
 CAPACITY = 2048
 #: Texts with these go to the tokenizer whole: separators on which libraries differ, and the start of special tokens.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Fixed value: how the tokenizer that _CUT and _PLAIN fit cuts its texts.
+_SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "a-zß-öø-ÿ"
 #: Where signs follow letters the tokenizer cuts too. An apostrophe may begin a contraction.
 _CUT = re.compile(rf"(?<=[{_LETTERS}])(?=[!-&(-/:-@\[-`{{-~])")
 _PLAIN = re.compile(f"[{_LETTERS}]+")
 
 
-class Encoder:
-    """From texts to their ids as little-endian 32-bit words. The tokenizer ignores case and splits at white space, so the
-    ids of a text are those of its words, which are cached. New words of plain letters are encoded many at a time and
-    told apart by the tokens that end a word."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+class Words:
+    """From texts to their ids as little-endian 32-bit words. If the tokenizer ignores case and splits at white space (which
+    its file says), the ids of a text are those of its words, which are cached; new words of plain letters are encoded many
+    at a time and told apart by the tokens that end a word. Other tokenizers get whole texts."""
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        vocabulary = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    def __init__(self, tok, most: int = 400_000):
+        self.tok, self.most = tok, most
+        kinds = json.loads(tok.to_str())
+        vocabulary = tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        steps = [*(kinds["normalizer"] or {}).get("normalizers", []), *(kinds["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and steps[3]["pattern"] == {"Regex": _SPLITS} and self.ends.any()
         self.cache: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
@@ -76,45 +82,50 @@ class Encoder:
             to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(to) == len(part):
                 out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *to[:-1]], to))))
-            else:  # a tokenizer without word ends
+            else:
                 out.update((w, self.one(w)) for w in part)
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        whole = [any(x in t for x in _ODD) if t else False for t in texts]
-        words = [[] if odd else self.words(t) for t, odd in zip(texts, whole)]
-        flat = list(itertools.chain.from_iterable(words))
-        got = list(map(self.cache.get, flat))
-        missing = [i for i, x in enumerate(got) if x is None]
-        new = self.learnt({flat[i] for i in missing})
-        for i in missing:
-            got[i] = new[flat[i]]
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-        self.cache.update(new)
-        out, at = [], 0
-        for t, odd, ws in zip(texts, whole, words):
-            out.append(self.one(t) if odd else b"".join(got[at : at + len(ws)]))
-            at += len(ws)
-        return out
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The texts' ids, in order; a few texts' words at a time are held."""
+        if not self.by_word:
+            yield from (self.one(t) if t else b"" for t in texts)
+            return
+        for part in itertools.batched(texts, 64):
+            whole = [any(x in t for x in _ODD) if t else False for t in part]
+            words = [[] if odd else self.words(t) for t, odd in zip(part, whole)]
+            flat = list(itertools.chain.from_iterable(words))
+            got = list(map(self.cache.get, flat))
+            missing = [i for i, x in enumerate(got) if x is None]
+            new = self.learnt({flat[i] for i in missing})
+            for i in missing:
+                got[i] = new[flat[i]]
+            if len(self.cache) + len(new) > self.most:
+                self.cache.clear()
+            self.cache.update(new)
+            at = 0
+            for t, odd, ws in zip(part, whole, words):
+                yield self.one(t) if odd else b"".join(got[at : at + len(ws)])
+                at += len(ws)
 
 
 @functools.lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """A worker's tasks share the tokenizer and its caches."""
-    return Encoder(path)
+def words_of(path: str) -> Words:
+    """A worker's tasks share the tokenizer and its words."""
+    from tokenizers import Tokenizer
+
+    return Words(Tokenizer.from_file(path))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, with ids the piece's ids as binary, and _task and _rank (the piece's rank
-    among the task's pieces of its length)."""
+    """doc_id, piece, start, length, ids_crc32, with ids the piece's ids as binary, and _pid, the piece's number."""
     path = path or tokenizer_file()
-    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("_task", "integer").add("_rank", "long")
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("_pid", "long")
     if ids:
         schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, pid = words_of(path), TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for batch, texts in slices(batches):
             at, rows, kept = [], [], []
@@ -122,80 +133,88 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
                 buf += b"\0\0\0\0"
                 for k, a in enumerate(range(0, len(buf), step)):
                     part = buf[a : a + step]
-                    n = len(part) // 4
                     at.append(i)
-                    rows.append((k, a // 4, n, zlib.crc32(part), seen[n]))
-                    seen[n] += 1
+                    rows.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
                     if ids:
                         kept.append(part)
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(np.full(len(at), task), pa.int32()), pa.array(cols[4])]
+            cols = np.array(rows, np.int64).reshape(-1, 4).T
+            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(np.arange(pid, pid + len(at)))]
+            pid += len(at)
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * ids, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """The rounds: from pieces per length to (length, first rank, pieces to a gap, first sequence, offset in it). Piece r
-    of a length, in the last entry whose first rank is at most r, goes to sequence first + (r - rank) // per gap."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free size -> runs of (first sequence, how many)
-    sizes: list[int] = []  # the free sizes that have runs, sorted
-    out, opened = [], 0
-
-    def free(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(sizes, length)
-            if i == len(sizes):  # no successor: open sequences
-                n = -(-left // (capacity // length))
-                first, size = opened, capacity
-                opened += n
-            else:
-                size = sizes[i]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    gaps.pop(size)
-                    sizes.pop(i)
-            per = size // length
-            used = min(n, -(-left // per))
-            placed = min(left, used * per)
-            out.append((length, rank, per, first, capacity - size))
-            free(size, first + used, n - used)
-            whole = placed // per
-            free(size - per * length, first, whole)
-            free(size - (placed - whole * per) * length, first + whole, used - whole)
-            rank, left = rank + placed, left - placed
-    return out
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
+
+
+def matched(items: DataFrame, gaps: DataFrame, top: int, least: int, most_slots: int, salts: int) -> DataFrame:
+    """A round: items (_pid, length) with sequence_id and _slot, null for those that found no slot."""
+    fits = gaps.where(F.col("free") >= least).withColumn("_n", F.greatest(F.lit(1).cast("long"), F.least(F.floor(F.col("free") / top), F.lit(most_slots).cast("long"))))
+    slots = fits.select(F.floor(F.col("free") / F.col("_n")).alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("slot"))
+    rows = slots.unionByName(items.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("_pid").alias("id"), F.lit(0).cast("long").alias("slot")))
+    group = ["size", "kind", "salt"]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "slot"), F.lit(salts)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("id", "slot")) - 1)
+    # ranks among equals go on from salt to salt
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("size", "kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    based = counts.select(*group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # the height of the stack before each size (at most `capacity` rows): the sum so far, less the lowest it would have been
+    sums = counts.groupBy("size").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("pushed"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("wanted"))
+    down = Window.orderBy(F.desc("size"))
+    sums = sums.withColumn("sum", F.sum(F.col("pushed") - F.col("wanted")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    height = F.coalesce(F.max("sum").over(down.rowsBetween(-1, -1)), F.lit(0)) - F.least(F.lit(0), F.coalesce(F.min("sum").over(before), F.lit(0)))
+    sums = sums.select("size", "pushed", height.alias("height"))
+    r = F.col("rank") + F.col("base")
+    # pieces beyond the stack get levels of their own
+    level = F.when(F.col("kind") == 0, F.col("height") + r + 1).when(r < F.col("height") + F.col("pushed"), F.col("height") + F.col("pushed") - r).otherwise(-1 - F.col("id"))
+    rows = rows.join(based, group).join(F.broadcast(sums), "size").withColumn("level", level)
+    top_down = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    rows = rows.withColumn("_to", F.lag("id").over(top_down)).withColumn("_at", F.lag("slot").over(top_down)).where("kind = 1")
+    found = F.col("level") > 0
+    return rows.select(F.col("id").alias("_pid"), F.col("size").alias("length"), F.when(found, F.col("_to")).alias("sequence_id"), F.when(found, F.col("_at")).alias("_slot"))
+
+
+def rounds(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """items: _pid, length, materialised. _pid, length, sequence_id, and _round and _slot, the order within a sequence."""
+    spark = items.sparkSession
+    salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    half = capacity // 2
+    first = items.where(F.col("length") > half).withColumn("sequence_id", F.col("_pid"))
+    out = [first.select("_pid", "length", "sequence_id", F.lit(0).alias("_round"), F.lit(0).cast("long").alias("_slot"))]
+    gaps = first.select("sequence_id", (capacity - F.col("length")).alias("free")).where("free > 0")
+    items = items.where(F.col("length") <= half).select("_pid", "length")
+    opened, number = 0, 0
+    while True:
+        kinds = items.select(F.lit(True).alias("item"), F.col("length").alias("size")).unionByName(gaps.select(F.lit(False).alias("item"), F.col("free").alias("size")))
+        counts = [tuple(r) for r in kinds.groupBy("item", "size").count().collect()]  # at most 2 * capacity rows
+        lengths = {n: c for item, n, c in counts if item}
+        if not lengths:
+            break
+        number += 1
+        largest = max((n for item, n, _ in counts if not item), default=0)
+        if over := sum(n * c for n, c in lengths.items() if n > largest):
+            new = -(-over // capacity)
+            gaps = gaps.unionByName(spark.range(new).select((F.lit(-1 - opened) - F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("free")))
+            opened += new
+            counts.append((False, capacity, new))
+        top, least = max(lengths), min(lengths)
+        offered = sum(c for item, n, c in counts if not item and n >= least)
+        left = sum(lengths.values())
+        found = materialise(matched(items, gaps, top, least, 2 * -(-left // offered), salts), left)
+        placed = found.where("sequence_id is not null")
+        out.append(placed.select("_pid", "length", "sequence_id", F.lit(number).alias("_round"), "_slot"))
+        used = placed.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
+        gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("free") - F.coalesce("_used", F.lit(0))).alias("free")).where("free > 0")
+        items = found.where("sequence_id is null").select("_pid", "length")
+        gaps = materialise(gaps, sum(c for item, _, c in counts if not item))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def placed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Materialised pieces, with sequence_id and offset instead of _task and _rank."""
-    counts = items.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(F.col("_task").alias("_t"), F.col("length").alias("_l"), F.coalesce(before, F.lit(0)).alias("_base"))
-    totals = {r.length: r.n for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = np.array(sorted(sweep(totals, capacity)), np.int64).reshape(-1, 5)
-    key = plan[:, 0] << np.int64(48) | plan[:, 1]
-    ranked = items.join(base, (F.col("_task") == F.col("_t")) & (F.col("length") == F.col("_l"))).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_task", "_t", "_l", "_base")
-    names = [c for c in ranked.columns if c != "_rank"]
-    schema = ranked.select(*names).schema.add("sequence_id", "long").add("offset", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-            row = plan[np.searchsorted(key, length << np.int64(48) | rank, side="right") - 1]
-            k = rank - row[:, 1]
-            arrays = [b.column(b.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(row[:, 3] + k // row[:, 2]), pa.array(row[:, 4] + k % row[:, 2] * length)], names=schema.names)
-
-    return ranked.mapInArrow(run, schema)
+    """Materialised pieces, with sequence_id and offset instead of _pid."""
+    order = Window.partitionBy("sequence_id").orderBy("_round", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    where = rounds(items.select("_pid", "length"), capacity).select(F.col("_pid").alias("_p"), "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
+    return items.join(where, F.col("_pid") == F.col("_p")).drop("_pid", "_p")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
