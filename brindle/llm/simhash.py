@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, table
 from .components import components
-from .neardup import deduplicated  # noqa: F401
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from brindle.llm import chat, fingerprint, language, mixing, packing, quality, simhash, topk, url_filter, warc
+from brindle.llm import chat, fingerprint, language, mixing, neardup, packing, quality, simhash, topk, url_filter, warc
 from brindle.llm.common import materialise, tokenizer_file
 from brindle.llm.components import components
 
@@ -61,28 +61,59 @@ def test_packing(spark, docs, none):
 
 
 def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
     texts = ["a<|endoftext|>b", "a\x1cb", "don't I'll 'S x's foo!'s can't. a-b (c) x1 1x", "É ﬁ ① ß İstanbul ſ x_y á ́b", "a\x85B\xa0ÀÞ×÷ÿ.", "ΣΑΣ. Σας", "x" * 5000, None, "", " "] + ["Common words, common Words!"] * 3
-    encode = packing.Encoder(packing.tokenizer_file(), most=4)  # so small that the cache is emptied all the time
-    want = [encode.one(t) if t else b"" for t in texts]
-    assert encode(texts) == want and [encode([t])[0] for t in texts] == want
-
-
-def test_sweep_is_best_fit_decreasing():
-    rng = np.random.default_rng(1)
-    for cap in (10, 50):
-        lengths = rng.integers(1, cap + 1, 300).tolist()
-        gaps: list[int] = []
-        for n in sorted(lengths, reverse=True):
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps[gaps.index(min(fit))] -= n
-            else:
-                gaps.append(cap - n)
-        plan = packing.sweep(dict(collections.Counter(lengths)), cap)
-        starts = sorted({(x[0], x[1]) for x in plan})
-        assert len(starts) == len(plan)
-        used = max(first + 1 for _, _, _, first, _ in plan)
-        assert used <= len(gaps)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second neither ignores case nor drops white space
+        tok = Tokenizer.from_file(tokenizer_file(name))
+        encode = packing.Words(tok, most=4)  # so small that the cache is emptied all the time
+        assert encode.by_word == (name == "word_bpe_49k.json")
+        want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"" for t in texts]
+        assert list(encode(texts)) == want and [b for t in texts for b in encode([t])] == want
+
+
+def best_fit(lengths, cap):
+    """Best-fit decreasing, one piece after the other."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps[gaps.index(min(fit))] -= n
+        else:
+            gaps.append(cap - n)
+    return gaps
+
+
+@pytest.mark.parametrize("lengths", [[1] * 300, [513] * 40, [*range(1, 200)], "random", "small"])
+def test_rounds_fill_as_best_fit_does(spark, lengths):
+    rng, cap = np.random.default_rng(1), 2048
+    lengths = rng.integers(1, cap + 1, 300).tolist() if lengths == "random" else rng.integers(1, 60, 900).tolist() if lengths == "small" else lengths
+    rows = packing.rounds(materialise(spark.createDataFrame(list(enumerate(lengths)), "_pid long, length long")), cap).collect()
+    assert sorted((r._pid, r.length) for r in rows) == list(enumerate(lengths))
+    assert len({(r.sequence_id, r._round, r._slot) for r in rows}) == len(rows)
+    used = collections.Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= cap and len(used) <= 1.01 * len(best_fit(lengths, cap)) + 1
+
+
+def test_a_round_is_the_sequential_sweep(spark):
+    rng = np.random.default_rng(5)
+    pieces, free = rng.integers(5, 50, 60).tolist(), rng.integers(5, 90, 25).tolist()
+    items = spark.createDataFrame(list(enumerate(pieces)), "_pid long, length long")
+    gaps = spark.createDataFrame([(1000 + i, g) for i, g in enumerate(free)], "sequence_id long, free long")
+    got = packing.matched(items, gaps, max(pieces), min(pieces), 100, 3).collect()
+    # slots on a stack, largest first; a piece takes the top one
+    slots = [g // max(1, g // max(pieces)) for g in free for _ in range(max(1, g // max(pieces)))]
+    stack, want = [], collections.Counter()
+    for size, kind in sorted([*((x, 1) for x in slots), *((x, 0) for x in pieces)], reverse=True):
+        if kind:
+            stack.append(size)
+        elif stack:
+            want[size, stack.pop()] += 1
+    size_of = {1000 + i: g // max(1, g // max(pieces)) for i, g in enumerate(free)}
+    assert collections.Counter((r.length, size_of[r.sequence_id]) for r in got if r.sequence_id is not None) == want
+    assert len(got) == 60 and len({(r.sequence_id, r._slot) for r in got if r.sequence_id is not None}) == sum(want.values())
 
 
 def test_chat(spark):
@@ -261,8 +292,8 @@ def test_simhash(spark, docs, none):
         assert rows[i].fingerprint == f"{sum(1 << b for b in range(64) if 2 * bits[b] > len(s)):016x}"
     assert rows[4].component_id == 3 and rows[2].component_id == 0
     assert simhash.near_duplicates(none).count() == 0
-    kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
-    assert len(kept) == len(set(kept)) and 3 in kept and 4 not in kept and 0 in kept and 1 not in kept and simhash.deduplicated(none).count() == 0
+    kept = [r.doc_id for r in neardup.deduplicated(docs).collect()]
+    assert len(kept) == len(set(kept)) and 3 in kept and 4 not in kept and 0 in kept and 1 not in kept and neardup.deduplicated(none).count() == 0
 
 
 def test_components(spark):
