@@ -7,11 +7,13 @@ until the prefix sum of their sizes comes nearest to what is left.
 
 The prefix sums take two levels, so that a source with a third of all rows is no task of its own: keys fall into about
 sqrt(n) ranges; range sums (partially aggregated before the shuffle) are prefix-summed to find the one range in which
-the budget ends; only that range's rows are sorted. The decision is then a comparison of each row with its source's cut.
+the budget ends; only that range's units are sorted. The decision is then a comparison of each row with its source's cut.
+Where a document crosses the budget, sampling goes on: PICKS times the unit whose size is nearest to what is still left is added.
 
-Nulls: a null text has size 0, a null source is a source of its own (the last), a null id sorts first, a null quality
-counts as 1. Rows alike in id and source are taken together. An empty table gives an empty result; sources of size 0
-have target 0. Extra columns pass through `mixed`.
+A unit is the rows alike in source, id and text; it has one key, and a cut within it takes some of its rows. Nulls: a null text
+has size 0, a null source is a source of its own (the last), a null id is an id of its own (documents with null ids differ
+by their texts), a null quality counts as 1. An empty table gives an empty result; sources of size 0 have target 0. Extra columns
+pass through `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, quoted, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources are configuration, not data: their table is held on the driver only up to this many.
 MOST_SOURCES = 1_000_000
 #: Tables of at most so many sources (a few MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+PICKS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -53,26 +56,31 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return out
 
 
-def keyed(docs: DataFrame, size: Column, quality: Column, seed: int = 5) -> DataFrame:
-    """Adds _size, _id, _key (exponential, of rate `quality`, which must lie in [1, 2] or nearly so) and _at = 1 - exp(-_key)."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(2**53)
-    return (
-        docs.withColumn("_size", size)
-        .withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-        .withColumn("_key", -F.log(u) / F.coalesce(quality.cast("double"), F.lit(1.0)))
-        .withColumn("_at", 1 - F.exp(-F.col("_key")))
-    )
+def rows_of(docs: DataFrame, labels: DataFrame, seed: int = 5) -> DataFrame:
+    """docs: row, doc_id, source, text. row, source, id, hash (of the text), size, key (exponential, of a rate that is the
+    document's quality weight: 2 if labelled good, 1 if bad, else 1.5) and at = 1 - exp(-key)."""
+    quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((1.0 + F.max("quality")).alias("_q")).select(F.col("doc_id").alias("_l"), "_q")
+    rows = docs.select("row", "source", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "hash"), 11).cast("double") + 0.5) / float(2**53)
+    rows = rows.join(quality, F.col("id") == F.col("_l"), "left").withColumn("key", -F.log(u) / F.coalesce("_q", F.lit(1.5)))
+    return rows.withColumn("at", 1 - F.exp(-F.col("key"))).drop("_l", "_q")
 
 
 PLAN = T.StructType(
     [T.StructField("_s", T.StringType()), T.StructField("source_size", T.LongType(), False), T.StructField("target", T.DoubleType(), False), T.StructField("_epochs", T.LongType(), False), T.StructField("_rest", T.DoubleType(), False), T.StructField("_ranges", T.LongType(), False)]
 )
+UNIT = ["source", "id", "hash"]
 
 
-def cuts(sized: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
-    """sized: source, _size, _id, _key, _at. One row per source: its target, complete epochs, and where the fraction ends."""
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("c")).limit(MOST_SOURCES + 1).collect()
+def _before(*by: str, order: list[str]):
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFrame, DataFrame, bool]:
+    """units: source, id, hash, size, key, at, copies. One row per source: its target, complete epochs, and where the fraction
+    ends; the few units above the cut of which some rows are taken (source, id, hash, _some); whether sources may be broadcast."""
+    spark = units.sparkSession
+    rows = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.count(F.lit(1)).alias("c")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources; mixing takes a table of sources, not of documents")
     want = targets([(r.source, r.n) for r in rows], weights, epochs)
@@ -82,54 +90,73 @@ def cuts(sized: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
         rest = want[r.source] - whole * r.n if whole < epochs else 0.0
         plan.append((r.source, r.n, want[r.source], whole, float(rest), int(r.c**0.5) + 1))
     plans = spark.createDataFrame(plan, PLAN)
-    sent = F.broadcast if len(rows) <= BROADCAST_SOURCES else lambda df: df  # a hot source's rows then stay where they are
+    few = len(rows) <= BROADCAST_SOURCES
+    sent = F.broadcast if few else lambda df: df  # a hot source's rows then stay where they are
     same = F.col("source").eqNullSafe(F.col("_s"))
-    ranged = sized.join(sent(plans.select("_s", "_rest", "_ranges").where("_rest > 0")), same).withColumn("_range", F.floor(F.col("_at") * F.col("_ranges")))
-    sums = ranged.groupBy("_s", "_rest", "_range").agg(F.sum("_size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    ends = sums.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest")))
-    ends = ends.select(F.col("_s").alias("_e"), F.col("_range").alias("_end"), "_before")
+    units = units.withColumn("words", F.col("size") * F.col("copies"))
+    ranged = units.join(sent(plans.select("_s", "_rest", "_ranges").where("_rest > 0")), same).withColumn("_range", F.floor(F.col("at") * F.col("_ranges")))
+    sums = ranged.groupBy("_s", "_rest", "_range").agg(F.sum("words").alias("n"))
+    ends = sums.withColumn("_before", F.coalesce(F.sum("n").over(_before("_s", order=["_range"])), F.lit(0))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest")))
+    ends = materialise(ends.select(F.col("_s").alias("_e"), F.col("_range").alias("_end"), "_before"), len(rows))
     last = ranged.join(sent(ends), F.col("_s").eqNullSafe(F.col("_e")) & (F.col("_range") == F.col("_end")))
-    units = last.groupBy("_s", "_rest", "_before", "_key", "_id").agg(F.sum("_size").alias("n"))
-    through = F.sum("n").over(Window.partitionBy("_s").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0))
-    taken = units.withColumn("_through", through).where(F.col("_before") + F.col("_through") - F.col("n") / 2 <= F.col("_rest"))
-    cut = taken.groupBy("_s").agg(F.max(F.struct("_key", "_id")).alias("_cut")).select(F.col("_s").alias("_c"), "_cut")
-    return sent(plans.join(ends.drop("_before"), F.col("_s").eqNullSafe(F.col("_e")), "left").join(cut, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_e", "_c"))
-
-
-def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs of keyed() with source_size, target and _times, how often the mix takes the row."""
-    at = F.floor(F.col("_at") * F.col("_ranges"))
-    part = (F.col("_rest") > 0) & (F.col("_end").isNull() | (at < F.col("_end")) | ((at == F.col("_end")) & (F.struct("_key", "_id") <= F.col("_cut"))))
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.withColumn("_times", F.col("_epochs") + F.coalesce(part, F.lit(False)).cast("long"))
-
-
-def label_quality(labels: DataFrame) -> DataFrame:
-    """A document's quality weight: 2 if labelled good, 1 if labelled bad; unlabelled ones have 1.5 (see quality_weight)."""
-    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((1 + F.max("quality")).alias("_q")).select(F.col("doc_id").alias("_l"), "_q")
-
-
-def with_quality(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
-    return docs.join(label_quality(labels), F.col("doc_id") == F.col("_l"), "left"), F.coalesce(F.col("_q"), F.lit(1.5))
+    order = ["key", "id", "hash"]
+    reached = F.col("_before") + F.coalesce(F.sum("words").over(_before("_s", order=order)), F.lit(0))
+    last = last.withColumn("_reached", reached).where(F.col("_reached") <= F.col("_rest"))
+    last = last.withColumn("_some", F.when(F.col("_reached") + F.col("words") <= F.col("_rest"), F.col("copies")).otherwise(F.floor((F.col("_rest") - F.col("_reached")) / F.col("size"))))
+    # at most one unit of a source is taken in part, the last of these
+    whole = F.col("_some") == F.col("copies")
+    ended = last.groupBy("_s").agg(F.max(F.when(whole, F.struct(*order))).alias("_cut"), F.max(F.when(~whole, F.struct(*UNIT, "_some", "size"))).alias("_part"), F.min(F.col("_rest") - F.col("_reached") - F.col("_some") * F.col("size")).alias("_left"))
+    ended = materialise(ended.select(F.col("_s").alias("_c"), "_cut", "_part", "_left"), len(rows))
+    full = plans.join(ends.drop("_before"), F.col("_s").eqNullSafe(F.col("_e")), "left").join(ended, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_e", "_c")
+    full = materialise(full, len(rows))
+    some = full.where("_part is not null").select("_part.source", "_part.id", "_part.hash", F.col("_part._some").alias("_some"))
+    # sampling goes on past the document that crosses
+    left = full.where("_left > 0").select("_s", "_left", "_ranges", "_end", "_cut")
+    at = F.floor(F.col("at") * F.col("_ranges"))
+    above = (at > F.col("_end")) | ((at == F.col("_end")) & (F.col("_cut").isNull() | (F.struct(*order) > F.col("_cut"))))
+    for _ in range(PICKS):
+        near = F.abs(F.col("_left") - F.col("size"))
+        had = some.select(*[F.col(c).alias(f"_{c}") for c in UNIT], "_some")
+        there = F.col("source").eqNullSafe(F.col("_source")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+        open_ = units.join(sent(left), same).where(above & (near < F.col("_left"))).join(sent(had), there, "left").where(F.col("copies") > F.coalesce("_some", F.lit(0)))
+        picked = open_.groupBy("_s", "_left", "_ranges", "_end", "_cut").agg(F.min(F.struct(near.alias("d"), *order, "source", "size")).alias("p"))
+        picked = materialise(picked, len(rows))
+        some = some.unionByName(picked.select("p.source", "p.id", "p.hash", F.lit(1).cast("long").alias("_some"))).groupBy(*UNIT).agg(F.sum("_some").alias("_some"))
+        some = materialise(some, len(rows))
+        left = picked.select("_s", (F.col("_left") - F.col("p.size")).alias("_left"), "_ranges", "_end", "_cut").where("_left > 0")
+    return full.drop("_part", "_left"), some, few
+
+
+def taken(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
+    """docs: row, doc_id, source, text. row, size, source_size, target and times, how often the mix takes the row."""
+    rows = rows_of(docs, labels)
+    units = rows.groupBy(*UNIT).agg(F.first("size").alias("size"), F.first("key").alias("key"), F.first("at").alias("at"), F.count(F.lit(1)).alias("copies"))
+    plan, some, few = cuts(materialise(units), weights, epochs)
+    sent = F.broadcast if few else lambda df: df
+    at = F.floor(F.col("at") * F.col("_ranges"))
+    below = (F.col("_rest") > 0) & (F.col("_end").isNull() | (at < F.col("_end")) | ((at == F.col("_end")) & F.coalesce(F.struct("key", "id", "hash") <= F.col("_cut"), F.lit(False))))
+    rows = rows.join(sent(plan), F.col("source").eqNullSafe(F.col("_s")), "left")
+    some = some.select(*[F.col(c).alias(f"_{c}") for c in UNIT], "_some")
+    there = F.col("source").eqNullSafe(F.col("_source")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    marked = rows.join(sent(some), there, "left")
+    out = ["row", "size", "source_size", "target"]
+    plain = marked.where("_some is null").select(*out, (F.col("_epochs") + below.cast("long")).alias("times"))
+    # of these few units the first rows by all their columns
+    first = F.row_number().over(Window.partitionBy(*UNIT).orderBy(F.xxhash64("row")))
+    part = marked.where("_some is not null").withColumn("_first", first).select(*out, (F.col("_epochs") + (F.col("_first") <= F.col("_some")).cast("long")).alias("times"))
+    return plain.unionByName(part)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    weighed, quality = with_quality(sized, labels)
-    kept = materialise(keyed(weighed, F.col("size"), quality).select("doc_id", "source", "size", "_size", "_id", "_key", "_at"))
-    out = mixed(kept, cuts(kept, weights, epochs))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"))
+    out = taken(docs.select(F.struct("doc_id").alias("row"), "doc_id", "source", "text"), labels, weights, epochs)
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
     """The mix itself: each document's row as often as the mix takes it, with the columns of docs."""
-    weighed, quality = with_quality(docs, labels)
-    rows = keyed(weighed, word_count(F.col("text")), quality)
-    kept = materialise(rows.select("doc_id", "source", "_size", "_id", "_key", "_at"))
-    out = mixed(rows, cuts(kept, weights, epochs)).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = taken(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "doc_id", "source", "text"), labels, weights, epochs)
+    return out.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
