@@ -85,6 +85,10 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def unused(taken: Iterable[str], *names: str) -> list[str]:
     """The names, with underscores added to those that `taken` has (in any case)."""
     have, out = {x.lower() for x in taken}, []
@@ -96,7 +100,7 @@ def unused(taken: Iterable[str], *names: str) -> list[str]:
 
 
 def held_out(key: str, mod: int, rest: int):
-    """crc32 of the id as text leaves `rest`; null ids are not held out."""
+    """Whether crc32 of the id as text leaves `rest`; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % mod == rest, F.lit(False))
 
 

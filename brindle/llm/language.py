@@ -6,11 +6,12 @@ pieces, each labelled like a word; so every letter counts. Training sequences ar
 different documents, so that transitions are seen. Words are labelled by forward-backward over the whole text; a text's
 language is the one with the largest mean posterior over its words, its score that mean.
 
-The model is fitted on the driver on a bounded sample (`per_language` documents of a language in expectation, `words`
-words of each). Forward-backward runs in numpy over many texts at once, step by step, on packed sequences.
+The model is fitted on the driver on a bounded sample: PER_LANGUAGE documents of a language in expectation (by hash of id and
+text), and of each a window of WINDOW characters anywhere in its text. Forward-backward runs in numpy over many texts at once, step by step, on packed sequences.
 
 Nulls: a null text or one without a letter is `und` with score 0; documents with null lang teach nothing. Without any
-labelled document every text is `und`; more than MOST_LANGUAGES labelled languages are an error. Repeated rows get equal results; an empty table gives an empty one.
+labelled document every text is `und`; more than MOST_LANGUAGES labelled languages are an error. Repeated rows get equal results; an empty table gives an empty one. Of languages
+with equal posteriors the first by name counts. Extra columns are ignored unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, slices, table
+from .common import SLICE_CHARS, Bounded, held_out, quoted, slices, table, tidy
 
 BITS = 16
-PER_LANGUAGE, WORDS, MOST_LANGUAGES = 300, 200, 200
+PER_LANGUAGE, WINDOW, MOST_LANGUAGES = 300, 3000, 200
 PIECE, SEQUENCES, STEPS = 24, 6000, 24
 
 
@@ -59,15 +60,13 @@ _HASHES = Bounded(hashed, 100_000)
 
 
 def word_features(word: str, lexicon: dict[str, int], bits: int = BITS) -> list[int]:
-    """The hashed features: the word, its affixes, its language in the lexicon and all its trigrams. Row 0 of the table is
-    padding, whose weights stay 0."""
+    """The hashed features: the word, its language in the lexicon (these two are hidden now and then in training), its affixes
+    and all its trigrams. Row 0 of the table is padding, whose weights stay 0."""
     w = f"^{word}$"
     names = ["p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:]]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
     grams = dict.fromkeys([w[i : i + 3] for i in range(len(w) - 2)])
     names += ["g" + x for x in grams]
-    ids = [hashed("w" + word) % ((1 << bits) - 1) + 1]
+    ids = [hashed("w" + word) % ((1 << bits) - 1) + 1, hashed(f"l{lexicon[word]}") % ((1 << bits) - 1) + 1 if word in lexicon else 0]
     for x in map(_HASHES.__getitem__, names):
         ids.append(x % ((1 << bits) - 1) + 1)
     return ids
@@ -77,7 +76,7 @@ def lexicon_of(texts: list[tuple[str, int]]) -> dict[str, int]:
     """Words seen at least 3 times, nine tenths of these in one language."""
     seen: dict[str, Counter] = defaultdict(Counter)
     for text, y in texts:
-        for w in map(clean, pieces(text)[:WORDS]):
+        for w in map(clean, pieces(text)):
             if w:
                 seen[w][y] += 1
     return {w: c.most_common(1)[0][0] for w, c in seen.items() if (n := sum(c.values())) >= 3 and c.most_common(1)[0][1] >= 0.9 * n}
@@ -89,7 +88,7 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row for each of the cleaned words."""
-        out = np.zeros((len(words), len(self.languages)))
+        out = np.zeros((len(words), len(self.languages)), self.weights.dtype)
         for i in range(0, len(words), 8192):
             ids = [word_features(w, self.lexicon) for w in words[i : i + 8192]]
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
@@ -107,7 +106,7 @@ class Emissions:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}  # -1: no letter
         self.known: dict[str, int] = {"": -1}
-        self.parts = [np.zeros((0, len(self.model.languages)))]
+        self.parts = [np.zeros((0, len(self.model.languages)), self.model.weights.dtype)]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the words that hold a letter, text after text, and how many each text has."""
@@ -140,7 +139,7 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
     coded = [(t, code[y]) for t, y in texts]
     lexicon = lexicon_of(coded)
     L, rng = len(languages), np.random.default_rng(seed)
-    words = [[w for w in map(clean, pieces(t)[:WORDS]) if w] for t, _ in coded]
+    words = [[w for w in map(clean, pieces(t)) if w] for t, _ in coded]
     by = [[i for i, (_, y) in enumerate(coded) if y == k and words[i]] for k in range(L)]
     live = [k for k in range(L) if by[k]]
     W, A, s = np.zeros((1 << bits, L)), np.zeros((L, L)), np.zeros(L)
@@ -159,11 +158,11 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             n = min(int(rng.integers(4, STEPS)), STEPS - at, len(own))
             i = int(rng.integers(len(own) - n + 1))
             for w in own[i : i + n]:
-                # the word itself is hidden now and then (below), so that unseen words are learned from their letters
+                # word and lexicon, which come from these very texts, are hidden now and then (below), so that letters are learned
                 feats[q, at, : len(cache[w])], gold[q, at] = cache[w], k
                 at += 1
     hide = rng.random((SEQUENCES, STEPS)) < 0.3
-    feats[hide, 0] = 0
+    feats[hide, :2] = 0
     gW, gA, gs = np.full_like(W, 1e-6), np.full_like(A, 1e-6), np.full_like(s, 1e-6)
     eye = np.eye(L)
     for _ in range(epochs):
@@ -199,6 +198,7 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             A += rate * dA / np.sqrt(gA)
             gs += ds**2
             s += rate * ds / np.sqrt(gs)
+    model.weights = W.astype(np.float32)
     return model
 
 
@@ -240,7 +240,7 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, st
 
 
 def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, rest: int = 2) -> list[tuple[str, str]]:
-    """About per_language (text, lang) of each language, chosen by hash of the id; held-out documents are left alone."""
+    """About per_language (text, lang) of each language, chosen by hash of id and text; held-out documents are left alone."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", mod, rest))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if not counts:
@@ -250,33 +250,39 @@ def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, res
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r.lang, F.lit(per_language / r["count"])).otherwise(share)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(3), F.col("doc_id")), 11).cast("double") / float(2**53)
-    # bounds what a sampled row sends to the driver; holds its first WORDS pieces
-    words = F.substring(F.array_join(F.slice(F.split("text", r"\s+"), 1, WORDS), " "), 1, WORDS * (PIECE + 1))
-    rows = known.where(u < share).select("doc_id", words.alias("text"), "lang").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))]
-
-
-def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    hashed_row = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
+    u = F.shiftrightunsigned(hashed_row, 11).cast("double") / float(2**53)
+    # a window of the text at a place by hash, less the word that it cuts at its beginning
+    start = F.pmod(F.xxhash64(F.lit(4), "text"), F.greatest(F.lit(1), F.char_length("text") - WINDOW + 1)).cast("int")
+    window = F.substring("text", start + 1, F.lit(WINDOW))
+    window = F.when(start > 0, F.regexp_replace(window, r"^\S+\s", "")).otherwise(window)
+    # rows alike in all three count once
+    rows = known.where(u < share).groupBy(hashed_row.alias("_u"), "lang").agg(F.min(window).alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r._u, r.lang))]
+
+
+def predicted(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs with the language and its score, under names that they do not have."""
+    schema = docs.select(*map(quoted, keep)).schema.add(names[0], "string").add(names[1], "double")
     inner = [c for c in dict.fromkeys([*keep, "text"])]
+    # a slice's posteriors take a few numbers for each word and language
+    most = max(100_000, SLICE_CHARS // (1 + len(model.languages) // 16)) if model else SLICE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Emissions(model) if model else None
-        for batch, texts in slices(batches, most=8_000_000):
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        for batch, texts in slices(batches, most=most):
+            found, scores = ["und"] * len(texts), [0.0] * len(texts)
             if model:
                 rows, lengths = cache.of(texts)
                 if len(rows):
                     post = posteriors(rows, lengths, model.trans, model.start)
                     best = post.argmax(1)
                     for i in np.flatnonzero(lengths):
-                        names[i], scores[i] = model.languages[best[i]], min(1.0, float(post[i, best[i]] / lengths[i]))
+                        found[i], scores[i] = model.languages[best[i]], min(1.0, float(post[i, best[i]] / lengths[i]))
             cols = [batch.column(inner.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return docs.select(*inner).mapInArrow(run, schema)
+    return docs.select(*map(quoted, inner)).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ hash of the id); every text is then scored whole, as sparse dot products.
 
 Nulls: a null text is empty; its score is the intercept's. Labels that are null are no labels; of several labels of a
 document the largest counts. Without labels, or with one class only, scores come from the smoothed share of label 1.
-Repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored unless `keep` names them.
+Repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored unless `keep` names them. Texts of
+any length are scored whole.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, slices, table
+from .common import Bounded, held_out, quoted, slices, table, tidy
 
 BITS = 18
-#: Rows of the labelled sample that the model is fitted on, at most (in expectation; see sampled).
+#: Labelled documents that the model is fitted on: those whose hash of id and text is among this many least, so no more.
 SAMPLE = 8000
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _RUNS = ((re.compile(r"[0-9]+"), "0"), (re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() else "x" if m[0].islower() else "Xx" if m[0].istitle() else "xX"))
@@ -34,7 +35,7 @@ _RUNS = ((re.compile(r"[0-9]+"), "0"), (re.compile(r"[^\W\d_]+"), lambda m: "X"
 def form(word: str) -> str:
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
-    return re.sub(r"(.)\1+", r"\1+", word)[:12]
+    return re.sub(r"(.)\1+", r"\1+", word)
 
 
 def _word(word: str) -> tuple[int, int]:
@@ -42,7 +43,7 @@ def _word(word: str) -> tuple[int, int]:
 
 
 def new_cache() -> Bounded:
-    return Bounded(_word)
+    return Bounded(_word, 150_000)
 
 
 def features(text: str | None, cache: Bounded, bits: int = BITS) -> list[np.ndarray]:
@@ -105,20 +106,27 @@ def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = 4, a
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 3, rest: int = 1) -> list[tuple[str | None, int]]:
-    """Text and label of about `sample` labelled rows that are not held out, chosen by hash of the id."""
+    """Text and label of at most `sample` labelled rows that are not held out, those with the least hash of id and text: rows of
+    one id, or one row repeated, are no more than others."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_y")).where(~held_out("doc_id", mod, rest))
     known = known.select(F.col("doc_id").alias("_l"), "_y")
-    there = known.count()
-    keep = F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col("_l")), 11).cast("double") / float(2**53) < sample / max(there, sample)
-    rows = docs.select("doc_id", "text").join(known.where(keep), F.col("doc_id") == F.col("_l")).select("doc_id", "text", "_y").collect()
-    return [(r.text, int(r._y == 1)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+    # hashes first: only the sample's texts move
+    row = F.xxhash64(F.lit(10), "doc_id", "text")
+    hashes = docs.select("doc_id", row.alias("_u")).join(known, F.col("doc_id") == F.col("_l")).select("_l", "_u", "_y").distinct()
+    picked = hashes.orderBy("_u", "_l").limit(sample).collect()
+    if not picked:
+        return []
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, hashes.schema))  # `sample` rows at most
+    rows = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("_l")) & (row == F.col("_u")))
+    rows = rows.groupBy("_l", "_u").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).collect()
+    return [(r.text, int(r._y == 1)) for r in sorted(rows, key=lambda r: (r._l, r.text or ""))]
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with `score`."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], score: str = "score") -> DataFrame:
+    """The columns `keep` of docs with the score, under a name that they do not have."""
     w, b = model
     bits = int(math.log2(len(w)))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*map(quoted, keep)).schema.add(score, "double")
     inner = [c for c in dict.fromkeys([*keep, "text"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +137,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
                 x = b + sum(10.0 * float(w[k].mean()) for k in features(t, cache, bits))
                 out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, x)))))
             cols = [batch.column(inner.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], names=[*keep, score])
 
-    return docs.select(*inner).mapInArrow(run, schema)
+    return docs.select(*map(quoted, inner)).mapInArrow(tidy(run), schema)
 
 
 def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
