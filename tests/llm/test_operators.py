@@ -174,11 +174,74 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_templates(spark):
-    rows = [("h", f"/spam/s{chr(97 + i)}", 100, 95) for i in range(26)] + [("h", "/ok/x", 100, 1)]
-    forms = materialise(spark.createDataFrame(rows, "host string, form string, n long, bad long"))
-    bad = {r.template for r in url_filter.rejected(forms).collect()}
-    assert bad == {"/spam/*"}
+def by_most(kids):
+    """The segments of a node by what follows them most often."""
+    out = collections.defaultdict(dict)
+    for node, segs in kids.items():
+        for seg, c in segs.items():
+            out[node, max((n, x) for x, n in c.items() if x[0] != "#")[1]][seg] = c
+    return out
+
+
+def plain_templates(forms):
+    """forms: (host, form) -> (n, labelled, bad). The template of each."""
+    now = {k: ("", [x for x in k[1].split("/") if x]) for k in forms}
+    now = {k: (t, s if len(s) <= 8 else [*s[:7], "/".join(s[7:])]) for k, (t, s) in now.items()}
+    for level in range(max((len(s) for _, s in now.values()), default=0)):
+        kids = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+        for k, (t, s) in now.items():
+            if len(s) > level:
+                c, nxt = kids[k[0], t][s[level]], s[level + 1] if len(s) > level + 1 else "/"
+                c[nxt] += forms[k][0]
+                c["#labelled"] += forms[k][1]
+                c["#bad"] += forms[k][2]
+        named = {}
+        for (node, _), segs in by_most(kids).items():
+            kinds = {x for c in segs.values() for x in c if x[0] != "#"}
+            for seg, c in segs.items():
+                others = sum((x for y, x in segs.items() if y != seg), collections.Counter())
+                nk, nr = sum(c[x] for x in kinds), sum(others[x] for x in kinds)
+                alike = nr > 0 and sum((math.sqrt(nr / nk) * c[x] - math.sqrt(nk / nr) * others[x]) ** 2 / (c[x] + others[x]) for x in kinds) <= len(kinds) - 1 + 3 * math.sqrt(2 * (len(kinds) - 1)) + 1e-9
+                la, lb = c["#labelled"], others["#labelled"]
+                if la and lb:
+                    pool = (c["#bad"] + others["#bad"]) / (la + lb)
+                    alike &= abs(c["#bad"] / la - others["#bad"] / lb) <= 1.96 * math.sqrt(pool * (1 - pool) * (1 / la + 1 / lb)) + 1e-9
+                named[*node, seg] = "*" if alike else seg
+        now = {k: (t + "/" + named[k[0], t, s[level]] if len(s) > level else t, s) for k, (t, s) in now.items()}
+    return {k: t for k, (t, _) in now.items()}
+
+
+def test_url_templates(spark, tmp_path):
+    """The registered query on planted spam branches: what no rule decides is rejected with the branches that look like blocked ones."""
+    rng = np.random.default_rng(9)
+    urls = [f"http://spam.com/en/buy/x{i}" for i in range(60)] + [f"http://spam.com/{x}/buy/x{i}" for x in ("fr", "it") for i in range(20)] + [f"http://spam.com/{x}/about.html" for x in ("help", "press")] * 6
+    urls += [f"http://mixed.example.com/en/{i}" for i in range(1, 100)] + [f"http://mixed.example.com/fr/{i}" for i in range(30)] + ["http://deep.org/" + "/".join("abcdefghijk") + f"/{i}" for i in range(3)]
+    urls += [f"http://clean.org/{rng.choice(['a', 'b', 'c'])}/{i}" for i in range(40)] + ["http://spam.com/en/buy/x1"] * 3
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = url_filter.query(spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in rows) == list(range(len(urls)))
+    forms = collections.defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        own = forms[r.host, re.sub(r"[0-9]+", "{n}", r.path)]
+        own[0] += 1
+        own[1] += r.rule is not None
+        own[2] += r.rule is not None and r.verdict == "block"
+    want = plain_templates(forms)
+    prior = sum(x[2] for x in forms.values()) / sum(x[1] for x in forms.values())
+    sums = collections.defaultdict(lambda: [0, 0])
+    for k, (_, labelled, bad) in forms.items():
+        sums[k[0], want[k]][0] += labelled
+        sums[k[0], want[k]][1] += bad
+    for r in rows:
+        if r.rule is None:
+            t = want[r.host, re.sub(r"[0-9]+", "{n}", r.path)]
+            labelled, bad = sums[r.host, t]
+            purity = (bad + 10 * prior) / (labelled + 10) if labelled else None
+            assert r.template == t and (r.purity is None) == (purity is None) and (purity is None or abs(r.purity - purity) < 1e-9)
+            assert r.verdict == ("block" if purity is not None and purity >= 0.95 else "allow")
+    verdict = {urls[r.page_id]: r.verdict for r in rows}
+    assert verdict["http://spam.com/fr/buy/x3"] == verdict["http://spam.com/it/buy/x9"] == "block" and verdict["http://spam.com/help/about.html"] == "allow"
+    assert verdict["http://mixed.example.com/fr/5"] == "allow" and verdict[urls[-4]] == "allow"
 
 
 def test_mixing(spark, docs, none):
