@@ -14,4 +14,4 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.query,
     "op10_quality_classifier": quality.query,
 }
-ORACLES: dict[str, str] = {"op8_warc_fixity": warc.ORACLE}
+ORACLES: dict[str, str] = {"op7_exact_top_k": topk.ORACLE, "op8_warc_fixity": warc.ORACLE}
