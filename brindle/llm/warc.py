@@ -2,21 +2,28 @@ r"""WARC records and a Merkle fixity audit of replicas.
 
 Records are rendered as WARC/1.0 response records and ordered within files; each has its offset, length and SHA-256.
 Leaves are hashed into ordered ranges of `fanout` records, ranges into ranges, up to one root a file, level by level: a node's
-hash covers its children's numbers and hashes in order and the range's length (its first offset is kept beside it: a
-record that is missing shifts all later ranges, which are sound nevertheless). An audit compares two replicas' roots and descends
-only below nodes that differ; records under equal nodes are sound without being compared.
-
-Files hold at most `fanout ** levels` records (record numbers beyond form further trees of the same file), so no group is
-unbounded. Nulls: null urls and contents are empty. Records are keyed by file and number, which must be unique within a replica; a record that one
-replica lacks is reported as missing or extra. An empty replica has no roots: all records of the other are reported. Extra columns are ignored.
+hash covers its children's numbers, offsets (from the node's beginning), lengths and hashes in order. So a range that is damaged, moved or
+of another length differs, and so do all ranges above it; a record that is missing moves its later siblings, but not what is in
+them. An audit compares two replicas' roots and descends only below nodes that differ; records under equal nodes are
+sound without being compared. Every level is a table of its own, so a level that the audit doesn't reach isn't read.
+
+A leaf is all records of one file and number, in the order of their hashes: one as a rule; repeated rows, or rows of one id, share a leaf,
+whose hash is that of their hashes, and its verdict. Files hold at most `fanout ** levels` numbers (those beyond form further trees of
+the same file). Nulls: null urls and contents are empty; records without an id go to files of their own, dealt by hash, so many that
+none holds more than a file does elsewhere. A leaf that one replica lacks is reported as missing or extra. An empty replica has no
+roots: all records of the other are reported. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import SLICE_CHARS, materialise, table, tidy
 
 FANOUT, LEVELS = 16, 3
 #: Fixed values of the rendering.
@@ -30,32 +37,41 @@ def record(ident: Column, url: Column, content: Column) -> Column:
     return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in head], body, F.lit(CRLF + CRLF))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """records: file, number, record (text). file, number, tree, at (the place in the tree), offset, length, digest."""
+def located(records: DataFrame) -> DataFrame:
+    """records: file, number, record (text), and others. Adds offset (in the file), length and digest, and drops record."""
     per = FANOUT**LEVELS
-    sized = records.select("file", "number", F.floor(F.col("number") / per).alias("tree"), F.pmod(F.col("number"), F.lit(per)).alias("at"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    before = F.sum("length").over(Window.partitionBy("file", "tree").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    sized = records.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256)).drop("record").withColumn("_tree", F.floor(F.col("number") / per))
+    before = F.sum("length").over(Window.partitionBy("file", "_tree").orderBy("number", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    trees = sized.groupBy("file", "_tree").agg(F.sum("length").alias("_n"))
+    base = F.sum("_n").over(Window.partitionBy("file").orderBy("_tree").rowsBetween(Window.unboundedPreceding, -1))
+    trees = trees.select(F.col("file").alias("_f"), F.col("_tree").alias("_t"), F.coalesce(base, F.lit(0)).alias("_base"))
     local = sized.withColumn("_in", F.coalesce(before, F.lit(0)))
-    trees = sized.groupBy("file", "tree").agg(F.sum("length").alias("_n"))
-    base = F.sum("_n").over(Window.partitionBy("file").orderBy("tree").rowsBetween(Window.unboundedPreceding, -1))
-    trees = trees.select("file", "tree", F.coalesce(base, F.lit(0)).alias("_base"))
-    return local.join(trees, ["file", "tree"]).select("file", "number", "tree", "at", (F.col("_in") + F.col("_base")).alias("offset"), "length", "digest")
+    return local.join(trees, (F.col("file") == F.col("_f")) & (F.col("_tree") == F.col("_t"))).withColumn("offset", F.col("_in") + F.col("_base")).drop("_tree", "_in", "_f", "_t", "_base")
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """records: file, number, record (text), or located(). file, tree, at (the place in the tree), offset, length, digest of every leaf."""
+    per = FANOUT**LEVELS
+    found = (located(records) if "record" in records.columns else records).groupBy("file", "number").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sort_array(F.collect_list("digest")).alias("_d"))
+    digest = F.when(F.size("_d") == 1, F.element_at("_d", 1)).otherwise(F.sha2(F.array_join("_d", ","), 256))
+    return found.select("file", "number", F.floor(F.col("number") / per).alias("tree"), F.pmod(F.col("number"), F.lit(per)).alias("at"), "offset", "length", digest.alias("digest"))
 
 
 def merkle(leaf: DataFrame) -> DataFrame:
     """file, tree, level (0: leaves), node, offset, length, digest of every node of every tree."""
-    level = leaf.select("file", "tree", F.lit(0).alias("level"), F.col("at").alias("node"), "offset", "length", "digest")
-    out = level
+    named = lambda level, i: level.withColumn("level", F.lit(i)).select("file", "tree", "level", "node", "offset", "length", "digest")
+    level = materialise(leaf.select("file", "tree", F.col("at").alias("node"), "offset", "length", "digest"))
+    out = named(level, 0)
     for i in range(1, LEVELS + 1):
-        level = level.groupBy("file", "tree", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("_c"))
-        kids = F.array_join(F.transform("_c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), ",")
-        level = level.select("file", "tree", F.lit(i).alias("level"), "node", "offset", "length", F.sha2(F.concat_ws(";", F.col("length").cast("string"), kids), 256).alias("digest"))
-        out = out.unionByName(level)
+        children = level.groupBy("file", "tree", F.floor(F.col("node") / FANOUT).alias("up")).agg(F.min("offset").alias("first"), F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("node", "offset", F.col("length").alias("n"), "digest"))).alias("_c"))
+        kids = F.array_join(F.transform("_c", lambda x: F.concat_ws(":", x["node"].cast("string"), (x["offset"] - F.col("first")).cast("string"), x["n"].cast("string"), x["digest"])), ",")
+        level = materialise(children.select("file", "tree", F.col("up").alias("node"), F.col("first").alias("offset"), "length", F.sha2(kids, 256).alias("digest")))
+        out = out.unionByName(named(level, i))
     return out
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """ours, theirs: materialised merkle() tables. The leaves below differing nodes: file, tree, node, verdict (changed, missing, extra), compared."""
+    """ours, theirs: merkle() tables. The leaves below differing nodes: file, tree, node, verdict (changed, missing, extra), compared."""
     frontier = None
     for i in range(LEVELS, -1, -1):
         a = ours.where(F.col("level") == i).select("file", "tree", "node", F.struct("offset", "length", "digest").alias("a"))
@@ -75,29 +91,54 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of files that write_warc wrote, whole (record), in no order; a part that is shorter than its Content-Length says raises an error."""
-    parts = spark.read.option("lineSep", "WARC/1.0" + CRLF).text(path).where("value <> ''").select(F.concat(F.lit("WARC/1.0" + CRLF), F.col("value")).alias("record"))
-    body = F.octet_length("record") - F.instr("record", CRLF + CRLF)
-    want = F.regexp_extract("record", r"Content-Length: (\d+)", 1).cast("long")
-    whole = F.octet_length(F.element_at(F.split("record", "\r\n\r\n", 2), 2)) >= want
-    return parts.select(F.when(whole, F.col("record")).otherwise(F.raise_error(F.lit("a WARC record is cut short"))).alias("record"))
+    """The records of WARC files, whole (record), in no order, found by their Content-Length whatever they contain. A record that is
+    shorter than its Content-Length says, or something else between records, raises an error. A task holds a file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data, at, out, size = content.as_py(), 0, [], 0
+                while at < len(data):
+                    body = data.find(b"\r\n\r\n", at) + 4
+                    length = re.search(rb"\r\nContent-Length: *(\d+)", data[at:body])
+                    if not data.startswith(b"WARC/1.0\r\n", at) or body < 4 or not length:
+                        raise ValueError(f"no WARC record at {at}")
+                    end = body + int(length[1])
+                    if data[end : end + 4] != b"\r\n\r\n":
+                        raise ValueError("a WARC record is cut short")
+                    out.append(data[at : end + 4].decode())
+                    at, size = end + 4, size + end - at
+                    if size > SLICE_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), "record string")
+
+
+def filed(pages: DataFrame, size: int = 1024) -> DataFrame:
+    """pages with file and number: files of `size` page ids; pages without an id in files below 0, dealt by hash."""
+    ids = F.col("page_id")
+    nulls = pages.where(ids.isNull()).count()
+    mark = F.xxhash64("url", "html")
+    file = F.when(ids.isNull(), -1 - F.pmod(mark, F.lit(2 * nulls // size + 1))).otherwise(F.floor(ids / size))
+    number = F.when(ids.isNull(), F.pmod(F.xxhash64(mark), F.lit(size))).otherwise(F.pmod(ids, F.lit(size)))
+    return pages.withColumns({"file": file, "number": number})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as records, files of 1024 page ids, against a replica that is corrupt where page_id mod 97 is 5
     (its content ends in `?` in place) and lacks those where it is 7. One row per record, with what the audit found."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    numbered = pages.select("page_id", F.floor(F.coalesce("page_id", F.lit(-1)) / 1024).alias("file"), F.pmod(F.coalesce("page_id", F.lit(-1)), F.lit(1024)).alias("number"), "url", "html")
-    rest = F.pmod(F.coalesce("page_id", F.lit(-1)), F.lit(97))
-    keys = ["file", "number"]
-    ours = materialise(leaves(numbered.select("file", "number", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))))
+    numbered = filed(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rest = F.coalesce(F.pmod("page_id", F.lit(97)), F.lit(0))
+    whole = record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")
+    ours = materialise(located(numbered.select("page_id", "file", "number", whole)))
     bad = F.when(rest == 5, F.concat(F.expr("left(coalesce(html, ''), greatest(length(html) - 1, 0))"), F.lit("?"))).otherwise(F.col("html"))
-    theirs = leaves(numbered.where(rest != 7).select("file", "number", record(F.col("page_id"), F.col("url"), bad).alias("record")))
-    found = audit(materialise(merkle(ours)), materialise(merkle(theirs)))
-    per = FANOUT**LEVELS
-    found = found.select(F.col("file"), (F.col("tree") * per + F.col("node")).alias("number"), "verdict")
-    out = ours.join(found, keys, "left")
-    return out.select((F.col("file") * 1024 + F.col("number")).alias("page_id"), F.col("file").alias("warc_file"), F.col("number").cast("long").alias("record_no"), F.col("offset").alias("record_offset"), "length", "digest", F.coalesce("verdict", F.lit("sound")).alias("verdict"))
+    theirs = numbered.where(rest != 7).select("file", "number", record(F.col("page_id"), F.col("url"), bad).alias("record"))
+    found = audit(merkle(leaves(ours)), merkle(leaves(theirs)))
+    found = found.select("file", (F.col("tree") * FANOUT**LEVELS + F.col("node")).alias("number"), "verdict")
+    out = ours.join(found, ["file", "number"], "left")
+    return out.select("page_id", F.col("file").alias("warc_file"), F.col("number").cast("long").alias("record_no"), F.col("offset").alias("record_offset"), "length", "digest", F.coalesce("verdict", F.lit("sound")).alias("verdict"))
 
 
 ORACLE = r"""
