@@ -294,7 +294,7 @@ def test_top_k(spark):
     rows = [*enumerate(vecs), (300, vecs[0]), (301, None), (302, [None] * 8), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (None, vecs[1]), (7, vecs[7])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = materialise(topk.quantised(df))
-    got = topk.top_k(q, q.where("vec_id % 20 = 0").dropDuplicates(["vec_id", "v"]), 5, shard=60, block=4)
+    got = topk.top_k(q, q.where("vec_id % 20 = 0"), 5, shard=60, block=4)
     have = collections.defaultdict(list)
     for r in got.orderBy("query_id", "rank").collect():
         have[r.query_id].append((r.vec_id, r.score))
@@ -306,6 +306,24 @@ def test_top_k(spark):
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_top_k_of_large_and_odd_vectors(spark):
+    # sums beyond floats and beyond 64 bits on the way, two vectors under one id, vectors of other lengths, a hot vector
+    rows = [(0, [2.0**40, -(2.0**40), 1.0]), (1, [2.0**40, 2.0**40, 0.5]), (2, [2.0**-6, 1.0, 3.0]), (20, [1.0, 1.0]), (21, [2.0, -1.0]), (20, [0.0, 5.0]), (40, [0.0, 0.0])] + [(3, [1.0, 0.0, 0.0])] * 9
+    df = materialise(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 4, shard=3).collect()
+    have = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        have[r.query_id].append((r.vec_id, r.score))
+    scaled = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    best = lambda i, q: sorted(((j, sum(map(int.__mul__, q, w))) for j, w in scaled if j != i and len(w) == len(q)), key=lambda x: (-x[1], x[0]))[:4]
+    assert have[0] == best(0, scaled[0][1]) and have[40] == best(40, scaled[6][1])
+    assert sorted(have[20]) == sorted(best(20, scaled[3][1]) + best(20, scaled[5][1]))
+    for v in ([1e300, 0.0], [2.0**50, 2.0**50]):  # a component, then a score that 64 bits cannot hold
+        with pytest.raises(Exception, match="64 bits|too big|too large|Overflow"):
+            q = topk.quantised(spark.createDataFrame([(0, v), (1, v)], "vec_id long, embedding array<double>"))
+            topk.top_k(q, q.where("vec_id = 0")).collect()
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", None if i == 3 else "é" * i) for i in range(300)], "id long, url string, html string")
     from pyspark.sql import functions as F
@@ -320,6 +338,53 @@ def test_warc(spark, tmp_path):
     assert sorted(r.record for r in warc.read_warc(spark, f"{tmp_path}/w").collect()) == sorted(r.record for r in ours.collect())
 
 
+def test_warc_reads_what_pages_contain(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = ["WARC/1.0\r\nx", "a\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nb", "", None, "é\r\n\r\n"]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "id long, url string, html string").select(warc.record(F.col("id"), F.col("url"), F.col("html")).alias("record"))
+    warc.write_warc(df, f"{tmp_path}/w")
+    assert sorted(r.record for r in warc.read_warc(spark, f"{tmp_path}/w").collect()) == sorted(r.record for r in df.collect())
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a").write_bytes(df.first().record.encode()[:-5])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_warc(spark, f"{tmp_path}/cut").collect()
+
+
+def test_warc_ids(spark, tmp_path):
+    """The registered query: repeated and null ids, offsets without gaps, what is corrupt or missing."""
+    rows = [(i, f"u{i}", "x" * (i % 50)) for i in range(0, 3000, 3)] + [(5, "u", "twice"), (6, "v", "same"), (6, "v", "same"), (None, "n", "a"), (None, "n", "a"), (None, None, None), (97 * 40 + 7, "lost", "l")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.query(spark, str(tmp_path)).collect()
+    assert sorted(map(str, [r.page_id for r in got])) == sorted(str(r[0]) for r in rows)
+    for r in got:
+        assert r.verdict == ("sound" if r.page_id is None else {5: "changed", 7: "missing"}.get(r.page_id % 97, "sound"))
+    files = collections.defaultdict(list)
+    for r in got:
+        files[r.warc_file].append((r.record_no, r.digest, r.record_offset, r.length))
+    for records in files.values():
+        at = 0
+        for _, _, offset, length in sorted(records):
+            assert offset == at
+            at += length
+
+
+def test_warc_ranges_cover_offsets(spark):
+    """Records that change places, of equal hashes but at other offsets, change the ranges above; empty replicas; several trees a file."""
+    rows = [(0, i, f"r{i}" * (1 + i % 3)) for i in range(5000)]
+    one = spark.createDataFrame(rows, "file long, number long, record string")
+    trees = materialise(warc.merkle(warc.leaves(one)))
+    assert trees.where("level = 3").count() == 2 and trees.where("level = 1 and tree = 0").count() == 256
+    # a leaf that grows moves its siblings: the range differs although their hashes don't
+    moved = one.selectExpr("file", "number", "if(number = 40, concat(record, 'x'), record) as record")
+    found = warc.audit(trees, materialise(warc.merkle(warc.leaves(moved)))).collect()
+    assert [(r.file, r.tree, r.node, r.verdict) for r in found] == [(0, 0, 40, "changed")]
+    same = materialise(warc.located(one)).selectExpr("file", "number", "offset + if(number = 41, 1, 0) as offset", "length", "digest")
+    assert trees.join(materialise(warc.merkle(warc.leaves(same))), ["file", "tree", "level", "node", "digest"], "left_anti").where("level > 0").count() == 3
+    empty = warc.merkle(warc.leaves(one.limit(0)))
+    assert warc.audit(trees, empty).where("verdict = 'missing'").count() == 5000 and warc.audit(empty, trees).where("verdict = 'extra'").count() == 5000 and empty.count() == 0
+
+
 def naive(prints, most):
     root = list(range(len(prints)))
 
