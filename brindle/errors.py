@@ -45,6 +45,10 @@ class IndexNotFound(EngineError):
     pass
 
 
+class UnknownIndexType(EngineError):
+    pass
+
+
 class FieldIndexed(EngineError):
     """A field that has an index already."""
 

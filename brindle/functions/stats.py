@@ -46,17 +46,18 @@ def table_stats(df: DataFrame, slot: int, block_size: int = BLOCK_SIZE) -> StatI
 
 
 class StatCache:
-    """A table's statistics, kept for REFRESH_AFTER fetches; they never affect rows."""
+    """Statistics of a table's versions, kept for REFRESH_AFTER fetches; they never affect rows."""
 
     def __init__(self):
         self._kept: dict[str, list] = {}
 
-    def get(self, table: str, compute) -> StatInfo:
+    def get(self, table: str, version, compute) -> StatInfo:
+        """`version` names the rows: what it was computed for is no answer for others."""
         entry = self._kept.get(table)
-        if entry is None or entry[1] >= REFRESH_AFTER:
-            entry = self._kept[table] = [compute(), 0]
-        entry[1] += 1
-        return entry[0]
+        if entry is None or entry[0] != version or entry[2] >= REFRESH_AFTER:
+            entry = self._kept[table] = [version, compute(), 0]
+        entry[2] += 1
+        return entry[1]
 
     def clear(self) -> None:
         self._kept.clear()

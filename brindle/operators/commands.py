@@ -50,11 +50,15 @@ def deleted(df: DataFrame, stmt: ast.Delete) -> DataFrame:
     return df.where(~matches(df, stmt.where))
 
 
-def updated(df: DataFrame, fields: list[ast.FieldDef], stmt: ast.Update) -> DataFrame:
+def check_sets(fields: list[ast.FieldDef], stmt: ast.Update) -> None:
     known = {f.name: f for f in fields}
     for name, value in stmt.sets:
         if name not in known:
             raise FieldNotFound(f"{stmt.table}.{name}")
         check_value(known[name], value)
+
+
+def updated(df: DataFrame, fields: list[ast.FieldDef], stmt: ast.Update) -> DataFrame:
+    known = {f.name: f for f in fields}
     hit, new = matches(df, stmt.where), dict(stmt.sets)  # of several values for a field the last counts
     return df.select(*[F.when(hit, F.lit(new[c].value).cast(SPARK[known[c].kind])).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])

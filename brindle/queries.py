@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .functions import cost
-from .session import Engine, Session
+from .operators.iterate import for_each_field, for_each_value
+from .plans.parser import parse
+from .session import Engine, Session, parse_dsn
 from .sources.storage import work_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -114,8 +118,6 @@ def _(s: Session) -> DataFrame:
 def _(s: Session) -> DataFrame:
     p = s.index_join("labels", "documents", "doc_id")
     names = ["doc_id", "quality", "toxic", "text", "lang", "source", "n_chars"]
-    from pyspark.sql import functions as F
-
     return p.frame().select(*[F.col(p.find(n).column).alias(n) for n in names])
 
 
@@ -145,41 +147,54 @@ def _(s: Session) -> DataFrame:
     return s.query("select id, name, age from users")
 
 
-def _own_nation(s: Session) -> Session:
-    """A table of our own with the nations, written by one statement each in a transaction."""
-    s.execute("create table nations (nk int64, nname varchar(25), rk int64)")
+def _own_orders(s: Session, slices: int = 4) -> Session:
+    """A table of our own with the orders, loaded in several parts."""
+    s.execute("create table own_orders (okey int64, status varchar(1), priority varchar(15), ckey int64)")
+    orders = s.table("orders").selectExpr("o_orderkey as okey", "o_orderstatus as status", "o_orderpriority as priority", "o_custkey as ckey")
     s.begin()
-    for r in s.rows("select n_nationkey, n_name, n_regionkey from nation"):
-        s.execute("insert into nations (nk, nname, rk) values (?, ?, ?)", r[0], r[1], r[2])
+    for i in range(slices):
+        s.load("own_orders", orders.where(f"pmod(okey, {slices}) = {i}"))
     s.commit()
     return s
 
 
-_NATIONS = "select cast(n_nationkey as bigint) nk, {name} nname, cast(n_regionkey as bigint) rk from nation"
+_ORDERS = "select o_orderkey as okey, o_orderstatus as status, {priority} as priority, {ckey} as ckey from orders"
+_OWN = "select okey, status, priority, ckey from own_orders"
+
+
+@_query("load_parts", _ORDERS.format(priority="o_orderpriority", ckey="o_custkey"))
+def _(s: Session) -> DataFrame:
+    return _own_orders(s).query(_OWN)
+
+
+@_query("update_where", _ORDERS.format(priority="case when o_orderstatus = 'P' then 'moved' else o_orderpriority end", ckey="o_custkey"))
+def _(s: Session) -> DataFrame:
+    _own_orders(s).execute("update own_orders set priority = 'moved' where status = 'P'")
+    return s.query(_OWN)
 
 
-@_query("update_where", _NATIONS.format(name="case when n_regionkey = 2 then 'moved' else n_name end"))
+@_query("update_one_row", _ORDERS.format(priority="case when o_orderkey = 7 then 'one' else o_orderpriority end", ckey="case when o_orderkey = 7 then -1 else o_custkey end"))
 def _(s: Session) -> DataFrame:
-    _own_nation(s).execute("update nations set nname = 'moved' where rk = 2")
-    return s.query("select nk, nname, rk from nations")
+    _own_orders(s).execute("update own_orders set priority = 'one', ckey = -1 where okey = 7")
+    return s.query(_OWN)
 
 
-@_query("update_all", _NATIONS.format(name="'all'"))
+@_query("update_all", _ORDERS.format(priority="'all'", ckey="o_custkey"))
 def _(s: Session) -> DataFrame:
-    _own_nation(s).execute("update nations set nname = 'all'")
-    return s.query("select nk, nname, rk from nations")
+    _own_orders(s).execute("update own_orders set priority = 'all'")
+    return s.query(_OWN)
 
 
-@_query("delete_where", _NATIONS.format(name="n_name") + " where not (n_regionkey = 1 and n_name <> '')")
+@_query("delete_where", _ORDERS.format(priority="o_orderpriority", ckey="o_custkey") + " where not (o_orderstatus = 'F' and o_orderpriority = '2-HIGH')")
 def _(s: Session) -> DataFrame:
-    _own_nation(s).execute("delete from nations where rk = 1")
-    return s.query("select nk, nname, rk from nations")
+    _own_orders(s).execute("delete from own_orders where status = 'F' and priority = '2-HIGH'")
+    return s.query(_OWN)
 
 
-@_query("delete_all", _NATIONS.format(name="n_name") + " where false")
+@_query("delete_all", _ORDERS.format(priority="o_orderpriority", ckey="o_custkey") + " where false")
 def _(s: Session) -> DataFrame:
-    _own_nation(s).execute("delete from nations")
-    return s.query("select nk, nname, rk from nations")
+    _own_orders(s).execute("delete from own_orders")
+    return s.query(_OWN)
 
 
 @_query("tx_commit", f"select cast(id as bigint) id, case when id = 1000 then 'new' else name end as name, cast(age as tinyint) age from {_USERS}")
@@ -250,10 +265,15 @@ def _(s: Session) -> DataFrame:
     return s.spark.createDataFrame(rows, "tblname string, records long")
 
 
-@_query("stat_distinct")
+_COUNTED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@_query("stat_distinct", " union all ".join(f"select '{c}' as fldname, count(distinct {c}) as exact_values, true as within_five_percent from lineitem" for c in _COUNTED))
 def _(s: Session) -> DataFrame:
-    found = s.stats("lineitem").distinct
-    return s.spark.createDataFrame(sorted(found.items()), "fldname string, distinct_values long")
+    found = s.stats("lineitem")
+    exact = s.table("lineitem").agg(*[F.count_distinct(c).alias(c) for c in _COUNTED]).first()
+    rows = [(c, exact[c], abs(found.distinct_values(c)[0] - exact[c]) <= 0.05 * exact[c]) for c in _COUNTED]
+    return s.spark.createDataFrame(rows, "fldname string, exact_values long, within_five_percent boolean")
 
 
 @_query("plan_cost", "select name, cast(cost as bigint) as cost from (values ('hash', 1234), ('btree', 2), ('unknown', -1), ('product', 1030), ('index join', 610)) t(name, cost)")
@@ -263,8 +283,136 @@ def _(s: Session) -> DataFrame:
     return s.spark.createDataFrame(rows, "name string, cost long")
 
 
-@_query("for_each_stop")
+@_query("for_each_stop", "select cast(10 as bigint) as visited, count(*) as members from (select o_orderkey from orders where o_orderkey is not null limit 10)")
+def _(s: Session) -> DataFrame:
+    seen: list[int] = []
+    n = s.for_each("select o_orderkey from orders", lambda row: seen.append(row[0]) or len(seen) == 10)
+    members = s.table("orders").where(F.col("o_orderkey").isin(seen)).count()
+    return s.spark.createDataFrame([(n, members)], "visited long, members long")
+
+
+@_query("for_each_field", "select * from (values ('n_nationkey', 'int'), ('n_name', 'string')) t(fldname, fldtype)")
 def _(s: Session) -> DataFrame:
     seen: list[tuple] = []
-    s.for_each("select o_orderkey from orders", lambda row: seen.append((row[0],)) or len(seen) == 10)
-    return s.spark.createDataFrame(seen, "o_orderkey long")
+    for_each_field(s.query("select n_nationkey, n_name, n_regionkey from nation"), lambda name, kind: seen.append((name, kind.simpleString())) or len(seen) == 2)
+    return s.spark.createDataFrame(seen, "fldname string, fldtype string")
+
+
+@_query("for_each_value", "select 'r_regionkey' as fldname, '2' as val union all select 'r_name', r_name from region where r_regionkey = 2")
+def _(s: Session) -> DataFrame:
+    df, seen = s.query("select r_regionkey, r_name from region where r_regionkey = 2"), []
+    s.for_each("select r_regionkey, r_name from region where r_regionkey = 2", lambda row: for_each_value(df, row, lambda name, _, v: seen.append((name, str(v))) and None))
+    return s.spark.createDataFrame(seen, "fldname string, val string")
+
+
+def _text(s: Session, rows: list[tuple[str, str]]) -> DataFrame:
+    return s.spark.createDataFrame(rows, "name string, val string")
+
+
+_PLANS = {
+    "one table": ("select r_name from region where r_regionkey = 3", "choose r_name from (select from (scan table region) where r_regionkey = 3)"),
+    "no condition": ("select r_name from region", "choose r_name from (select from (scan table region) where true)"),
+    "three tables": ("SELECT c_name FROM customer, nation, region WHERE c_nationkey=n_nationkey AND n_regionkey = r_regionkey", "choose c_name from (select from (join (join (scan table customer) to (scan table nation)) to (scan table region)) where c_nationkey = n_nationkey and n_regionkey = r_regionkey)"),
+    "view": ("select hn from hot, region", "choose hn from (select from (join (choose hn from (select from (scan table own) where hr = 1)) to (scan table region)) where true)"),
+}
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    quoted = ", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in rows)
+    return f"select * from (values {quoted}) t(name, val)"
+
+
+@_query("explain_text", _values([(k, want) for k, (_, want) in _PLANS.items()]))
+def _(s: Session) -> DataFrame:
+    s.execute("create table own (hn varchar(9), hr int8)")
+    s.execute("create view hot as select hn from own where hr = 1")
+    return _text(s, [(k, s.explain(text)) for k, (text, _) in _PLANS.items()])
+
+
+@_query("index_info", "select 'text' as name, 'by_age on users(age) using btree' as val union all select 'records', '2' union all select 'distinct of the field', '3' union all select 'distinct of another', '1'")
+def _(s: Session) -> DataFrame:
+    _filled(s).execute("create index by_age on users (age) using btree")
+    i = s.index_info("users", "age")
+    return _text(s, [("text", str(i)), ("records", str(i.records())), ("distinct of the field", str(i.distinct("age"))), ("distinct of another", str(i.distinct("id")))])
+
+
+@_query("reduction_factor", "select text as name, cast(factor as varchar) as val from (values ('n_regionkey = 1', 5), ('n_regionkey = n_nationkey', 25), ('1 = 1', 1), ('n_regionkey = 1 and n_nationkey = 2', 125)) t(text, factor)")
+def _(s: Session) -> DataFrame:
+    texts = ["n_regionkey = 1", "n_regionkey = n_nationkey", "1 = 1", "n_regionkey = 1 and n_nationkey = 2"]
+    return _text(s, [(t, str(s.plan(f"select n_name from nation where {t}").plan.reduction_factor())) for t in texts])
+
+
+@_query("predicate_parts", _values([("constant of a", "5"), ("field of b", "a"), ("select a, c", "a = 5 and c = 'x'"), ("join a to b", "a = b"), ("join a to c", "none"), ("applies to a, b", "False"), ("applies to all", "True"), ("conjoined", "a = b and a = 5 and c = 'x' and d = 1")]))
+def _(s: Session) -> DataFrame:
+    p, q = (parse(f"select a from t where {w}").where for w in ("a = b and a = 5 and c = 'x'", "d = 1"))
+    return _text(s, [
+        ("constant of a", str(p.equates_with_constant("a"))), ("field of b", p.equates_with_field("b")), ("select a, c", str(p.sub_select({"a", "c"}))), ("join a to b", str(p.sub_join({"a"}, {"b"}))),
+        ("join a to c", str(p.sub_join({"a"}, {"c"}) or "none")), ("applies to a, b", str(p.applies_to({"a", "b"}))), ("applies to all", str(p.applies_to({"a", "b", "c"}))), ("conjoined", str(p.conjoin(q))),
+    ])
+
+
+@_query("dsn_options", _values([("path", "/data/db"), ("block_size", "4096"), ("transaction_lock_timeout", "90.0"), ("unknown key", "BadDSN"), ("bad value", "BadDSN")]))
+def _(s: Session) -> DataFrame:
+    path, options = parse_dsn("/data/db?block_size=4096&transaction_lock_timeout=1m30s")
+
+    def failure(dsn: str) -> str:
+        try:
+            return str(parse_dsn(dsn))
+        except EngineError as e:
+            return type(e).__name__
+
+    return _text(s, [("path", path), *((k, str(v)) for k, v in options.items()), ("unknown key", failure("/d?colour=red")), ("bad value", failure("/d?block_size=big"))])
+
+
+def _outcome(call: Callable[[], object]) -> str:
+    try:
+        call()
+        return "done"
+    except EngineError as e:
+        return type(e).__name__
+
+
+@_query("tx_conflicts", _values([("stale writer", "LockTimeout"), ("same view", "ViewExists"), ("same index", "IndexExists"), ("other table", "done")]))
+def _(s: Session) -> DataFrame:
+    """Two transactions of one snapshot: the second must not undo what the first has committed."""
+    _filled(s).execute("create table more (id int64)")
+    out = []
+    for name, first, second in (("stale writer", "update users set age = 1", "delete from users"), ("same view", "create view v as select id from users", "create view v as select id from more"), ("same index", "create index i on users (id)", "create index i on more (id)"), ("other table", "update users set age = 2", "insert into more (id) values (1)")):
+        other = s.engine.session()
+        other.begin()
+        other.query("select id from users")
+
+        def run(other=other, second=second) -> None:
+            other.execute(second)
+            other.commit()
+
+        s.execute(first)
+        out.append((name, _outcome(run)))
+        other.close()
+    return _text(s, out)
+
+
+@_query("tx_recovery", f"{_TYPED} {_USERS}")
+def _(s: Session) -> DataFrame:
+    """After a crash that left a part without a manifest and an unreadable manifest, the database opens at its last commit and takes new ones."""
+    _filled(s).begin()
+    s.execute("delete from users where age = 0")
+    s._flush("users")  # parts are written, the commit is not
+    storage = s.engine.storage
+    out = storage._fs.create(storage._path(f"manifests/{s.engine.version + 1:012d}.json"), False)
+    out.write(bytearray(b'{"tables": {"us'))
+    out.close()
+    again = Engine(s.spark, storage.path, {}).session()
+    again.execute("create table after_crash (id int64)")
+    return Engine(s.spark, storage.path, {}).session().query("select id, name, age from users")
+
+
+@_query("concurrent_open", f"{_TYPED} {_USERS}")
+def _(s: Session) -> DataFrame:
+    """Opening a database leaves the parts of transactions that are under way elsewhere."""
+    s.execute("create table users (id int64, name varchar(25), age int8)")
+    s.begin()
+    s.load("users", s.spark.createDataFrame([(1000 * i, f"user {i}", i % 3) for i in range(6)], "id long, name string, age int"))
+    Engine(s.spark, s.engine.storage.path, {})
+    s.commit()
+    return s.query("select id, name, age from users")
