@@ -9,9 +9,10 @@ The template here marks turns with control strings and escapes these inside role
 first character, doubling backslashes, so the escape is reversible and no text can forge a turn.
 
 Conversations come sorted within partitions and are streamed one at a time; a conversation's cost is quadratic in its
-turns (each prefix is rendered), its memory linear. Nulls: null roles and texts are empty, a null turn comes first, a
-null conv_id is one conversation. Turns alike are ordered by role, then text; repeated rows are repeated turns. An empty
-table gives an empty result; extra columns are ignored.
+turns (each prefix is rendered), its memory linear. Nulls: null roles and texts are empty, a null turn comes first; rows
+without a conv_id belong to no other row, so each is a conversation of its own (and many of them no hot one). Turns alike are ordered by role,
+then text; repeated rows are repeated turns. The query's added conversation -7 follows the turns of one that is in the table
+already, if any, as its rows sort. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Fixed values of the template.
 OPEN, BODY, CLOSE = "<|turn|>", "<|body|>", "<|stop|>"
@@ -116,7 +117,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         now, turns, rows, chars = None, [], [], 0
         for batch in batches:
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (conv,):
+                if now != (conv,) or conv is None:
                     if now:
                         rows.append(one(now[0], turns))
                         chars += rows[-1]["formatted_chars"]
@@ -131,8 +132,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, _OUT)
 
     rows = conversations.select(F.col("conv_id").cast("long"), "role", "text", "turn")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    dealt = rows.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import materialise, slices, table, tidy
 from .components import components
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seeds: tuple[int, ...] = (42,), di
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c.view(np.int64)) for c in np.ascontiguousarray(found.T))], names=schema.names)
 
-    return docs.select(*keep, F.col("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text")).mapInArrow(tidy(run), schema)
 
 
 #: (exact segment's first bit, its bits, Golay segment's first bit, its bits)
@@ -138,7 +138,7 @@ def keys(prints: DataFrame, tables: list[Table], width: int) -> DataFrame:
                     asks = np.arange(len(at)) >= len(node)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(asks), pa.array(node[at]), *(pa.array(words[at, w].view(np.int64)) for w in range(width))], names=["key", "asks", "node", *names])
 
-    return prints.select("node", *names).mapInArrow(run, schema)
+    return prints.select("node", *names).mapInArrow(tidy(run), schema)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def links(rows: DataFrame, width: int, most: int, hot: int = HOT) -> DataFrame:
         if carry is not None and len(carry[0]):
             yield from groups(*carry)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "u long, v long")
 
 
 def neighbours(prints: DataFrame) -> DataFrame:
