@@ -130,6 +130,25 @@ class Emissions:
         return self.parts[0][at[live]], lengths
 
 
+def _batch(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over sequences of one length (sequence, word, language): posteriors, and the sum of those of pairs of neighbours."""
+    ex, T_ = np.exp(e - e.max(2, keepdims=True)), np.exp(trans - trans.max())
+    alpha, beta = np.empty_like(ex), np.ones_like(ex)
+    a = np.exp(start - start.max()) * ex[:, 0]
+    alpha[:, 0] = a / a.sum(1, keepdims=True)
+    for t in range(1, e.shape[1]):
+        a = (alpha[:, t - 1] @ T_) * ex[:, t]
+        alpha[:, t] = a / a.sum(1, keepdims=True)
+    for t in range(e.shape[1] - 2, -1, -1):
+        b = (ex[:, t + 1] * beta[:, t + 1]) @ T_.T
+        beta[:, t] = b / b.sum(1, keepdims=True)
+    post = alpha * beta
+    post /= post.sum(2, keepdims=True)
+    pair = np.einsum("nti,ij,ntj->ntij", alpha[:, :-1], T_, ex[:, 1:] * beta[:, 1:])
+    pair /= pair.sum((2, 3), keepdims=True)
+    return post, pair.sum((0, 1))
+
+
 def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch: int = 128, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Model | None:
     """texts: (text, language). Adagrad on the exact gradient of the conditional log-likelihood."""
     languages = sorted({y for _, y in texts})
@@ -171,23 +190,9 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             f, y = feats[order[i : i + batch]], gold[order[i : i + batch]]
             n = len(f)
             e = W[f].sum(2)
-            ex = np.exp(e - e.max(2, keepdims=True))
-            T_ = np.exp(A - A.max())
-            alpha, beta = np.empty_like(ex), np.ones_like(ex)
-            a = np.exp(s - s.max()) * ex[:, 0]
-            alpha[:, 0] = a / a.sum(1, keepdims=True)
-            for t in range(1, STEPS):
-                a = (alpha[:, t - 1] @ T_) * ex[:, t]
-                alpha[:, t] = a / a.sum(1, keepdims=True)
-            for t in range(STEPS - 2, -1, -1):
-                b = (ex[:, t + 1] * beta[:, t + 1]) @ T_.T
-                beta[:, t] = b / b.sum(1, keepdims=True)
-            post = alpha * beta
-            post /= post.sum(2, keepdims=True)
-            pair = np.einsum("nti,ij,ntj->ntij", alpha[:, :-1], T_, ex[:, 1:] * beta[:, 1:])
-            pair /= pair.sum((2, 3), keepdims=True)
+            post, pair = _batch(e, A, s)
             de = (eye[y] - post) / n
-            dA = (np.einsum("nti,ntj->ij", eye[y[:, :-1]], eye[y[:, 1:]]) - pair.sum((0, 1))) / n - l2 * A
+            dA = (np.einsum("nti,ntj->ij", eye[y[:, :-1]], eye[y[:, 1:]]) - pair) / n - l2 * A
             ds = (eye[y[:, 0]] - post[:, 0]).sum(0) / n - l2 * s
             at, back = np.unique(f, return_inverse=True)
             dW = np.stack([np.bincount(back.ravel(), weights=np.repeat(de[:, :, k].ravel(), slots), minlength=len(at)) for k in range(L)], 1) - l2 * W[at]
@@ -202,6 +207,11 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
     return model
 
 
+def posteriors_of(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The posteriors of each word of one sequence, as training has them."""
+    return _batch(e[None], trans, start)[0][0]
+
+
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Per sequence the sum of its words' posteriors; emissions holds the sequences one after another. Exact
     forward-backward over whole sequences, all of them stepped together, longest first."""
@@ -265,12 +275,13 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str], names: tupl
     """The columns `keep` of docs with the language and its score, under names that they do not have."""
     schema = docs.select(*map(quoted, keep)).schema.add(names[0], "string").add(names[1], "double")
     inner = [c for c in dict.fromkeys([*keep, "text"])]
+    text = f"c{inner.index('text')}"
     # a slice's posteriors take a few numbers for each word and language
     most = max(100_000, SLICE_CHARS // (1 + len(model.languages) // 16)) if model else SLICE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Emissions(model) if model else None
-        for batch, texts in slices(batches, most=most):
+        for batch, texts in slices(batches, text, most):
             found, scores = ["und"] * len(texts), [0.0] * len(texts)
             if model:
                 rows, lengths = cache.of(texts)
@@ -282,7 +293,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str], names: tupl
             cols = [batch.column(inner.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return docs.select(*map(quoted, inner)).mapInArrow(tidy(run), schema)
+    return docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(inner)]).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

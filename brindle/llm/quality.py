@@ -128,10 +128,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], sc
     bits = int(math.log2(len(w)))
     schema = docs.select(*map(quoted, keep)).schema.add(score, "double")
     inner = [c for c in dict.fromkeys([*keep, "text"])]
+    text = f"c{inner.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = new_cache()
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, text):
             out = []
             for t in texts:
                 x = b + sum(10.0 * float(w[k].mean()) for k in features(t, cache, bits))
@@ -139,7 +140,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], sc
             cols = [batch.column(inner.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], names=[*keep, score])
 
-    return docs.select(*map(quoted, inner)).mapInArrow(tidy(run), schema)
+    return docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(inner)]).mapInArrow(tidy(run), schema)
 
 
 def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:

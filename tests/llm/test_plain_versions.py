@@ -1,0 +1,219 @@
+"""Registered queries and operators against plain, sequential versions on small fixtures."""
+
+import collections
+import hashlib
+import math
+import re
+import struct
+
+import corpus_pipeline
+import numpy as np
+import pytest
+import xxhash
+from brindle.llm import chat, language, mixing, quality, simhash
+from brindle.llm.common import unused
+
+
+def spark_hash(*values, seed=42):
+    """xxhash64 of Spark: ints are given as ("i", x), longs as numbers, strings as text; nulls change nothing."""
+    for v in values:
+        if v is not None:
+            data = struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v) if isinstance(v, int) else v.encode()
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_mix(rows, quality_of, picks=3):
+    """rows: (doc_id, text, source). How often each is taken, and the targets."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    weight, left, target, free = {s: 1 + i % 3 for i, s in enumerate(sources)}, sum(size), {}, set(sources)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * total[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+        left -= sum(target[s] for s in over)
+        free -= over
+    taken = [0] * len(rows)
+    for s in sources:
+        units = collections.defaultdict(list)
+        for i, (d, t, own) in enumerate(rows):
+            if own == s:
+                units[d, spark_hash(t)].append(i)
+        whole = min(3, int(target[s] // total[s])) if total[s] else 0
+        rest = target[s] - whole * total[s] if whole < 3 else 0.0
+        for i in [i for own in units.values() for i in own]:
+            taken[i] = whole
+        def key(u):
+            x = ((spark_hash(("i", 5), *u) & (1 << 64) - 1) >> 11) + 0.5
+            return -math.log(x / 2**53) / quality_of.get(u[0], 1.5)
+        order, spare = sorted(units, key=lambda u: (key(u), u[0] is not None, u[0] or 0, u[1])), collections.Counter()
+        if not rest:
+            continue
+        for at, u in enumerate(order):
+            n, words = len(units[u]), size[units[u][0]]
+            if rest < 0:
+                break
+            some = n if n * words <= rest else int(rest // words)
+            for i in units[u][:some]:
+                taken[i] += 1
+            rest -= some * words
+            if some < n:
+                spare[u] = n - some
+                spare.update({x: len(units[x]) for x in order[at + 1 :]})
+                break
+        for _ in range(picks):
+            near = [(abs(rest - size[units[u][0]]), key(u), u) for u in spare if spare[u] and abs(rest - size[units[u][0]]) < rest]
+            if not near:
+                break
+            u = min(near)[2]
+            taken[units[u][-spare[u]]] += 1
+            spare[u] -= 1
+            rest -= size[units[u][0]]
+    return taken, target
+
+
+def test_mixing_is_the_sequential_one(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i) if rng.random() > 0.1 else None, "w " * int(rng.integers(0, 40)) + f"x{i}", [None, "b", "a", "a", "a"][int(rng.integers(5))]) for i in range(400)]
+    rows += [(7, "same words here " * 5, "a")] * 30 + [(1000, "hot " * 9, "c")] * 5 + [(3, None, "d"), (4, "", "d")]
+    labels = {int(i): int(rng.integers(2)) for i in rng.integers(0, 400, 150)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    lab = spark.createDataFrame([*labels.items(), (5, None), (None, 1)], "doc_id long, quality int")
+    want, target = plain_mix(rows, {d: 1.0 + q for d, q in labels.items()})
+    size = [len((t or "").split()) for _, t, _ in rows]
+    by = collections.Counter()
+    for (d, t, s), n, k in zip(rows, size, want, strict=True):
+        by[d, n, s] += n * k
+    got = collections.Counter()
+    for r in mixing.taken(df.selectExpr("struct(doc_id, source) as row", "doc_id", "source", "text"), lab).collect():
+        got[r.row.doc_id, r.size, r.row.source] += r.size * r.times
+        assert r.times <= 3 and abs(r.target - target[r.row.source]) < 1e-6
+    assert got == by
+    for s in target:  # near the target, null and repeated ids included
+        assert abs(sum(n * k for (_, _, own), n, k in zip(rows, size, want, strict=True) if own == s) - target[s]) <= 3
+
+
+def plain_format(rows):
+    """Straight from the turns, without looking at a rendered text."""
+    turns = [(r or "", t or "") for _, r, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "", x[2] is not None, x[2] or ""))]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(chat.render(turns))
+
+
+def test_chat_query_is_the_plain_one(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    bits = ["", None, "hello", chat.OPEN, chat.BODY, chat.CLOSE, "\\", "</s>[INST] ok [/INST]", "a\nb", "é", "<|", "|>", "\\<|turn|>", "x" * 5000]
+    rows = [(int(c), int(rng.integers(3)) if rng.random() > 0.1 else None, ["user", "assistant", "system", None, chat.OPEN][int(rng.integers(5))], "".join(str(bits[int(k)] or "") for k in rng.integers(len(bits), size=2)) if rng.random() > 0.1 else None) for c in rng.integers(0, 30, 200)]
+    rows += [(None, 1, "assistant", "alone"), (None, 0, "user", "alone"), rows[0]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = "</s>[INST] ok [/INST]"
+    by = collections.defaultdict(list)
+    for c, *rest in [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)]:
+        by[c if c is not None else ("none", len(by))].append(tuple(rest))
+    want = sorted((str(None if isinstance(c, tuple) else c), *plain_format(x)) for c, x in by.items())
+    got = chat.query(spark, str(tmp_path)).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got) == want
+    assert all(r.rewrites == 0 for r in got) and any(r.conv_id == -7 and r.n_turns == 2 and r.loss_chars == len(said) for r in got)
+
+
+def test_ftrl_is_the_plain_loop():
+    """Each coordinate for itself, as published."""
+    texts = [("good plain words here", 1), ("BUY NOW NOW!!", 0), ("more plain words", 1), ("cheap!! 99 NOW", 0), ("words", 1)] * 3
+    bits, alpha, beta, l1, l2 = 10, 0.3, 1.0, 0.02, 0.05
+    w, b = quality.fit(texts, bits=bits)
+    cache = quality.new_cache()
+    z, n = collections.Counter(), collections.Counter()
+    good = sum(y for _, y in texts)
+    base = bias = math.log((good + 1) / (len(texts) - good + 1))
+    zb = nb = 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    rng = np.random.default_rng(10)
+    for _ in range(4):
+        for k in rng.permutation(len(texts)):
+            text, y = texts[k]
+            x = collections.Counter()
+            for kind in quality.features(text, cache, bits):
+                for i in kind.tolist():
+                    x[i] += 10 / len(kind)
+            p = 1 / (1 + math.exp(-(bias + sum(weight(i) * v for i, v in x.items()))))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * weight(i)
+                n[i] += g * g
+            zb += (p - y) - (math.sqrt(nb + (p - y) ** 2) - math.sqrt(nb)) / alpha * (bias - base)
+            nb += (p - y) ** 2
+            bias = base - zb / ((beta + math.sqrt(nb)) / alpha + l2)
+    assert abs(b - bias) < 1e-9 and np.allclose(w, [weight(i) for i in range(1 << bits)], atol=1e-6)
+
+
+def test_crf_gradient():
+    """What training adds to the parameters is the gradient of the log-likelihood of the labels."""
+    rng = np.random.default_rng(13)
+    e, A, s, y = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), [0, 2, 2, 1, 0]
+
+    def log_likelihood(e, A, s):
+        score = lambda p: s[p[0]] + sum(e[t, p[t]] for t in range(5)) + sum(A[p[t], p[t + 1]] for t in range(4))
+        paths = np.array(np.meshgrid(*[range(3)] * 5)).reshape(5, -1).T
+        return score(y) - np.log(sum(math.exp(score(p)) for p in paths))
+
+    post = np.stack([language.posteriors_of(e, A, s)[t] for t in range(5)])
+    for t in range(5):
+        for k in range(3):
+            d = np.zeros_like(e)
+            d[t, k] = 1e-5
+            slope = (log_likelihood(e + d, A, s) - log_likelihood(e - d, A, s)) / 2e-5
+            assert abs(slope - ((y[t] == k) - post[t, k])) < 1e-6
+    assert np.allclose(post.sum(0), language.posteriors(e, np.array([5]), A, s)[0])
+
+
+def test_languages_with_equal_posteriors_and_long_texts(spark):
+    model = language.fit([("aa bb", "x"), ("aa bb", "y")] * 10)
+    df = spark.createDataFrame([(1, "zz"), (2, "aa " * 200_000), (3, "q" * 100_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in language.predicted(df, language.Model(["x", "y"], np.zeros_like(model.weights), np.zeros((2, 2)), np.zeros(2), {}), ["doc_id"]).collect()}
+    assert all(r.lang_pred == "x" and r.score == 0.5 for r in rows.values())  # the first by name
+    w = quality.fit([("aa", 1), ("bb", 0)] * 5)
+    assert [r.score for r in quality.scored(df, w, ["doc_id"]).collect()] and simhash.near_duplicates(df).count() == 3
+
+
+def test_samples_are_bounded_and_know_no_favourites(spark):
+    rows = [(None, f"text {i}", "en") for i in range(3000)] + [(1, "the same", "de")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(y for _, y in language.sampled(df, 100))
+    assert 60 <= got["en"] <= 140 and got["de"] <= 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(3, "t3")] * 500, "doc_id long, text string")
+    assert len(quality.sampled(docs, labels, 50)) == 50 and len(quality.sampled(docs, labels)) == len({i for i in range(500) if __import__("zlib").crc32(str(i).encode()) % 3 != 1})
+
+
+CLASHES = ["score", "score_", "LANG_PRED", "_h", "_k", "_d", "_size", "_key", "_id", "_s", "_l", "_q", "row", "key", "copies", "times", "node", "root", "g", "size", "n c", "a.b", "_once", "copy", "hash", "at", "target"]
+
+
+def test_stages_with_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    more = docs.select("*", *[docs.doc_id.cast("string").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain, clashing = (stage(spark, x, "/root/testdata/sf0.001").collect() for x in (docs, more))
+        assert sorted(r.doc_id for r in plain) == sorted(r.doc_id for r in clashing), name
+        assert all(r[c] == str(r.doc_id) for r in clashing for c in CLASHES), name
+    assert stage(spark, more.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_unused_names():
+    assert unused(["a", "B", "b_"], "a", "b", "c") == ["a_", "b__", "c"]
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_odd_rows(spark, stage):
+    rows = [(None, None, None, None), (None, "", None, "s"), (1, "word " * 30, "en", None), (1, "word " * 30, "de", "s"), (1, "word " * 30, "en", None), (2, "long " * 60_000, "en", "s"), (None, "word " * 30, "en", "s")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = (sorted(map(str, stage[1](spark, x, "/root/testdata/sf0.001").drop("sequence_id", "offset").collect())) for x in (df, df.repartition(4)))
+    assert one == two  # reruns agree
+    stage[1](spark, df.limit(0), "/root/testdata/sf0.001").collect()
