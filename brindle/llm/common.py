@@ -69,6 +69,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             start = end
 
 
+def released() -> None:
+    """Gives what this process's allocators keep, and no object holds, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow that gives back, at its task's end, the memory that the worker's allocators have kept: workers
     live on through later stages."""
@@ -77,10 +85,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc only
-                ctypes.CDLL(None).malloc_trim(0)
+            released()
 
     return wrapped
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, Bounded, held_out, quoted, slices, table, tidy
+from .common import SLICE_CHARS, Bounded, held_out, quoted, released, slices, table, tidy
 
 BITS = 16
 PER_LANGUAGE, WINDOW, MOST_LANGUAGES = 300, 3000, 200
@@ -204,6 +204,8 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             gs += ds**2
             s += rate * ds / np.sqrt(gs)
     model.weights = W.astype(np.float32)
+    del feats, gold, cache, words, gW
+    released()
     return model
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, quoted, slices, table, tidy
+from .common import Bounded, held_out, quoted, released, slices, table, tidy
 
 BITS = 18
 #: Labelled documents that the model is fitted on: those whose hash of id and text is among this many least, so no more.
@@ -84,14 +84,19 @@ def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = 4, a
     w = np.zeros(1 << bits)
     if not 0 < good < n:
         return w, base
-    cache = new_cache()
-    data = [(*vector(features(t, cache, bits)), y) for t, y in rows]
+    cache, parts = new_cache(), []
+    for i in range(0, n, 256):  # few large arrays, which go back to the system whole
+        own = [vector(features(t, cache, bits)) for t, _ in rows[i : i + 256]]
+        ends = np.cumsum([0, *(len(at) for at, _ in own)])
+        parts.append((ends, np.concatenate([at for at, _ in own]).astype(np.int32), np.concatenate([x for _, x in own])))
     zb = gb = 0.0
     b = base
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(n):
-            at, x, y = data[i]
+            (ends, at, x), y = parts[i >> 8], rows[i][1]
+            own = slice(ends[i & 255], ends[(i & 255) + 1])
+            at, x = at[own], x[own]
             zi, gi = z[at], g2[at]
             wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(gi)) / alpha + l2))
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, b + float(wi @ x)))))
@@ -144,7 +149,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], sc
 
 
 def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    return fit(sampled(docs, labels, sample))
+    model = fit(sampled(docs, labels, sample))
+    released()
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
