@@ -11,12 +11,15 @@ once, by ranges of the id (bounds: approximate quantiles); each range also gets
 next range, so that windows within ranges see every neighbour. All later steps keep that partitioning.
 
 Nulls: a null text is empty; an empty text has the fingerprint of no word, alike to other empty ones only. Null ids come last
-in descending order. Documents with equal ids are ordered by text. An empty table gives an empty result; a table of one
+in descending order. Documents with equal ids are ordered by the text's hash, so that an id (or null) of many rows fills several ranges;
+rows alike in id and text follow each other. An empty table gives an empty result; a table of one
 document is its own next. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,13 +105,16 @@ def likeness(a: str, b: str, n: int) -> Column:
 
 
 def ranged(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, text, _b (its range; 0 holds the largest ids), _copy: also of each range's next range, the first document."""
+    """doc_id, text, _b (its range; 0 holds the largest ids), _copy: also of each range's next range, the first document. An id, or
+    null, that fills several ranges is dealt to them by the text's hash."""
     cuts = ",".join(f"{i / ranges:.9f}" for i in range(1, ranges)) or "0.5"
     at = F.split(F.lit(cuts), ",").cast("array<double>")
-    found, least, nulls = docs.agg(F.percentile_approx("doc_id", at, 10000), F.min("doc_id"), F.max(F.col("doc_id").isNull())).first()
-    bounds = sorted(set(found or []), reverse=True)
-    n = len(bounds)
+    found, nulls, rows = docs.agg(F.percentile_approx("doc_id", at, 10000), F.count(F.when(F.col("doc_id").isNull(), 1)), F.count(F.lit(1))).first()
+    times = collections.Counter(found or [])
+    bounds = sorted(times, reverse=True)  # range k holds the ids from bounds[k] up to the one before
+    n, per = len(bounds), max(1, -(-rows // ranges))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    number = F.lit(n)
     if n:
         # a coarse and a fine array, so that a lookup costs the root of their number; each is one constant
         step = max(1, int(n**0.5))
@@ -117,18 +123,23 @@ def ranged(docs: DataFrame, ranges: int) -> DataFrame:
         fine = F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")
         group = F.size(F.filter(coarse, lambda x: x > F.col("doc_id")))
         inner = F.size(F.filter(F.split(F.get(fine, group - 1), ",").cast("array<long>"), lambda x: x > F.col("doc_id")))
-        number = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).when(group == 0, F.lit(0)).otherwise((group - 1) * step + inner)
-    else:
-        number = F.lit(n + 1)
-    own = own.withColumn("_b", number.cast("int"))
-    # bounds are ids of documents, so ranges 0 to n - 1 hold some; the last two may be empty
-    there = [*range(n), *[n] * bool(n and least < bounds[-1]), *[n + 1] * bool(nulls)]
-    # the first document of each range: largest id, then largest text
-    first = own.groupBy("_b").agg(F.max(F.struct("doc_id", "text")).alias("h"))
-    if there:
-        before = F.when(F.col("_b") == 0, F.lit(there[-1])).when(F.col("_b") == n + 1, F.lit((there[-2:-1] or there)[0])).otherwise(F.col("_b") - 1)
-        first = first.withColumn("_b", before.cast("int"))
-    heads = first.select("h.doc_id", "h.text", "_b", F.lit(True).alias("_copy"))
+        number = F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inner)
+    # within a range: ids above the bound, then the bound's own by hash, in as many parts as it fills ranges
+    hot = {b: m for b, m in times.items() if m > 1}
+    parts = max([1, -(-nulls // per), *hot.values()])
+    share = (F.shiftright(F.xxhash64("text"), 33) + (1 << 30)).cast("double") / float(1 << 31)
+    part = F.when(F.col("doc_id").isNull(), 1 + F.floor(share * max(1, -(-nulls // per))))
+    if hot:  # at most half as many as there are ranges, and they are few
+        of = F.element_at(F.str_to_map(F.lit(",".join(f"{b}:{m}" for b, m in hot.items()))), F.col("doc_id").cast("string")).cast("int")
+        part = part.otherwise(F.coalesce(1 + F.floor(share * of), F.lit(0)))
+    number = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(number).cast("long") * (parts + 1) + F.coalesce(part, F.lit(0))
+    own = own.withColumn("_b", number)
+    # the first document of each range goes to the range before, too; the driver knows which ranges there are, but no documents
+    order = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", (-F.xxhash64("text")).alias("y"), "text")
+    first = own.groupBy("_b").agg(F.max(order).alias("h"))
+    there = sorted(r._b for r in own.select("_b").distinct().collect())
+    before = docs.sparkSession.createDataFrame(list(zip(there, [*there[-1:], *there[:-1]], strict=True)), "_k long, _to long")
+    heads = first.join(F.broadcast(before), F.col("_b") == F.col("_k")).select("h.doc_id", "h.text", F.col("_to").alias("_b"), F.lit(True).alias("_copy"))
     return own.withColumn("_copy", F.lit(False)).unionByName(heads)
 
 
@@ -136,7 +147,7 @@ def edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("_copy").asc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
+    order = [F.col("_copy").asc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("text").desc()]
     by = Window.partitionBy("_b").orderBy(*order)
     rows = ranged(docs, ranges).withColumn("_n", F.row_number().over(by)).withColumn("_next", F.lead("text").over(by))
     chars = F.char_length("text")
