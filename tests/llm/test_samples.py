@@ -1,6 +1,10 @@
 """The error of op6's likeness with as many samples as the query takes."""
 
+import collections
+import hashlib
+
 import numpy as np
+import xxhash
 from brindle.llm import fingerprint
 
 
@@ -17,3 +21,19 @@ def test_likeness_with_the_samples_of_the_query(spark):
     print("error", error)
     assert abs(off.mean()) < 0.015 and error < 0.074  # 0.0625 is expected of 64 samples, 0.088 of 32
     assert all(len(r.fingerprint) == 5 * 64 for r in rows.values())
+
+
+def test_ids_that_fill_several_ranges(spark):
+    """Null ids and one id for a third of the rows each: every document meets the next one in the stated order."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"t{i} " + "x" * int(rng.integers(9))) for i in range(300)] + [(None, "t0 same"), (None, "t0 same"), (-5, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ranges = fingerprint.ranged(df, 24)
+    assert ranges.where("not _copy").groupBy("_b").count().agg({"count": "max"}).first()[0] <= 60
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = collections.Counter()
+    for (d, t), (_, nx) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(t) // 2
+        want[d, len(t), hashlib.sha256((t[: len(t) - half] + nx[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited(df, 4).collect()) == want
