@@ -76,6 +76,13 @@ def _before(*by: str, order: list[str]):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _kept(df: DataFrame, few: bool, rows: int) -> DataFrame:
+    """A table of a row or so for each source, at hand: with the driver if sources are few, else written."""
+    if not few:
+        return materialise(df, rows)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFrame, DataFrame, bool]:
     """units: source, id, hash, size, key, at, copies. One row per source: its target, complete epochs, and where the fraction
     ends; the few units above the cut of which some rows are taken (source, id, hash, _some); whether sources may be broadcast."""
@@ -97,7 +104,7 @@ def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFram
     ranged = units.join(sent(plans.select("_s", "_rest", "_ranges").where("_rest > 0")), same).withColumn("_range", F.floor(F.col("at") * F.col("_ranges")))
     sums = ranged.groupBy("_s", "_rest", "_range").agg(F.sum("words").alias("n"))
     ends = sums.withColumn("_before", F.coalesce(F.sum("n").over(_before("_s", order=["_range"])), F.lit(0))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest")))
-    ends = materialise(ends.select(F.col("_s").alias("_e"), F.col("_range").alias("_end"), "_before"), len(rows))
+    ends = _kept(ends.select(F.col("_s").alias("_e"), F.col("_range").alias("_end"), "_before"), few, len(rows))
     last = ranged.join(sent(ends), F.col("_s").eqNullSafe(F.col("_e")) & (F.col("_range") == F.col("_end")))
     order = ["key", "id", "hash"]
     reached = F.col("_before") + F.coalesce(F.sum("words").over(_before("_s", order=order)), F.lit(0))
@@ -106,9 +113,9 @@ def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFram
     # at most one unit of a source is taken in part, the last of these
     whole = F.col("_some") == F.col("copies")
     ended = last.groupBy("_s").agg(F.max(F.when(whole, F.struct(*order))).alias("_cut"), F.max(F.when(~whole, F.struct(*UNIT, "_some", "size"))).alias("_part"), F.min(F.col("_rest") - F.col("_reached") - F.col("_some") * F.col("size")).alias("_left"))
-    ended = materialise(ended.select(F.col("_s").alias("_c"), "_cut", "_part", "_left"), len(rows))
+    ended = _kept(ended.select(F.col("_s").alias("_c"), "_cut", "_part", "_left"), few, len(rows))
     full = plans.join(ends.drop("_before"), F.col("_s").eqNullSafe(F.col("_e")), "left").join(ended, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_e", "_c")
-    full = materialise(full, len(rows))
+    full = _kept(full, few, len(rows))
     some = full.where("_part is not null").select("_part.source", "_part.id", "_part.hash", F.col("_part._some").alias("_some"))
     # sampling goes on past the document that crosses
     left = full.where("_left > 0").select("_s", "_left", "_ranges", "_end", "_cut")
@@ -120,9 +127,9 @@ def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFram
         there = F.col("source").eqNullSafe(F.col("_source")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
         open_ = units.join(sent(left), same).where(above & (near < F.col("_left"))).join(sent(had), there, "left").where(F.col("copies") > F.coalesce("_some", F.lit(0)))
         picked = open_.groupBy("_s", "_left", "_ranges", "_end", "_cut").agg(F.min(F.struct(near.alias("d"), *order, "source", "size")).alias("p"))
-        picked = materialise(picked, len(rows))
+        picked = _kept(picked, few, len(rows))
         some = some.unionByName(picked.select("p.source", "p.id", "p.hash", F.lit(1).cast("long").alias("_some"))).groupBy(*UNIT).agg(F.sum("_some").alias("_some"))
-        some = materialise(some, len(rows))
+        some = _kept(some, few, len(rows))
         left = picked.select("_s", (F.col("_left") - F.col("p.size")).alias("_left"), "_ranges", "_end", "_cut").where("_left > 0")
     return full.drop("_part", "_left"), some, few
 

@@ -5,7 +5,7 @@ Leaves are hashed into ordered ranges of `fanout` records, ranges into ranges, u
 hash covers its children's numbers, offsets (from the node's beginning), lengths and hashes in order. So a range that is damaged, moved or
 of another length differs, and so do all ranges above it; a record that is missing moves its later siblings, but not what is in
 them. An audit compares two replicas' roots and descends only below nodes that differ; records under equal nodes are
-sound without being compared. Every level is a table of its own, so a level that the audit doesn't reach isn't read.
+sound without being compared. Leaves and the ranges above them are tables of their own, so the audit reads no leaf before it reaches them.
 
 A leaf is all records of one file and number, in the order of their hashes: one as a rule; repeated rows, or rows of one id, share a leaf,
 whose hash is that of their hashes, and its verdict. Files hold at most `fanout ** levels` numbers (those beyond form further trees of
@@ -65,7 +65,8 @@ def merkle(leaf: DataFrame) -> DataFrame:
     for i in range(1, LEVELS + 1):
         children = level.groupBy("file", "tree", F.floor(F.col("node") / FANOUT).alias("up")).agg(F.min("offset").alias("first"), F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("node", "offset", F.col("length").alias("n"), "digest"))).alias("_c"))
         kids = F.array_join(F.transform("_c", lambda x: F.concat_ws(":", x["node"].cast("string"), (x["offset"] - F.col("first")).cast("string"), x["n"].cast("string"), x["digest"])), ",")
-        level = materialise(children.select("file", "tree", F.col("up").alias("node"), F.col("first").alias("offset"), "length", F.sha2(kids, 256).alias("digest")))
+        level = children.select("file", "tree", F.col("up").alias("node"), F.col("first").alias("offset"), "length", F.sha2(kids, 256).alias("digest"))
+        level = materialise(level) if i == 1 else level  # those above are a sixteenth of it and less
         out = out.unionByName(named(level, i))
     return out
 
