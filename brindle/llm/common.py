@@ -77,9 +77,17 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of an Arrow batch, in place of Spark's default.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow that gives back, at its task's end, the memory that the worker's allocators have kept: workers
-    live on through later stages."""
+    live on through later stages. A session that has Spark's default for the bytes of a batch gets a lower one, as both sides hold
+    several batches for each task."""
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
