@@ -17,7 +17,6 @@ with equal posteriors the first by name counts. Extra columns are ignored unless
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, Bounded, held_out, quoted, released, slices, table, tidy
+from .common import SLICE_CHARS, held_out, quoted, released, slices, table, tidy
 
 BITS = 16
 PER_LANGUAGE, WINDOW, MOST_LANGUAGES = 300, 3000, 200
@@ -51,25 +50,46 @@ def clean(word: str) -> str:
     return word
 
 
-def hashed(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
-
-
-#: Hashes of affixes, n-grams and languages, which recur from word to word.
-_HASHES = Bounded(hashed, 100_000)
+def _spread(h: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of the weight table from 64-bit numbers. Row 0 is padding, whose weights stay 0."""
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return ((h ^ h >> np.uint64(33)) % np.uint64((1 << bits) - 1)).astype(np.int64) + 1
+
+
+#: Odd multipliers by a character's place in an n-gram, and by its place in a word.
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_POWERS = np.cumprod(np.full(4 * PIECE, 0x9E3779B97F4A7C15, np.uint64))  # lower case can be longer
+
+
+def features(words: list[str], lexicon: dict[str, int], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed features of words of 1 to PIECE letters: for each the word, its language in the lexicon (0: none; these two are
+    hidden now and then in training) and its affixes; all trigrams, word after word; and where each word's trigrams begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    place = np.arange(len(c)) - np.repeat(starts, sizes)
+    fixed = np.zeros((len(words), 8), np.int64)
+    fixed[:, 0] = _spread(np.add.reduceat(c * _POWERS[place], starts), bits)
+    known = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    fixed[:, 1] = np.where(known < 0, 0, _spread(known.astype(np.uint64) + np.uint64(1 << 40), bits))
+    for n in (2, 3, 4):  # affixes; what a short word lacks counts as nothing
+        head, tail = np.full(len(words), n, np.uint64), np.full(len(words), n + 8, np.uint64)
+        for k in range(n):
+            there = sizes > k
+            head += np.where(there, c[np.minimum(starts + k, len(c) - 1)], np.uint64(0)) * _PLACES[k]
+            tail += np.where(there, c[np.maximum(ends - 1 - k, 0)], np.uint64(0)) * _PLACES[k]
+        fixed[:, n], fixed[:, n + 3] = _spread(head, bits), _spread(tail, bits)
+    first = np.flatnonzero(place < np.repeat(sizes - 2, sizes))
+    grams = _spread(c[first] * _PLACES[0] + c[first + 1] * _PLACES[1] + c[first + 2] * _PLACES[2] + np.uint64(17), bits)
+    return fixed, grams, starts - 2 * np.arange(len(words))
 
 
 def word_features(word: str, lexicon: dict[str, int], bits: int = BITS) -> list[int]:
-    """The hashed features: the word, its language in the lexicon (these two are hidden now and then in training), its affixes
-    and all its trigrams. Row 0 of the table is padding, whose weights stay 0."""
-    w = f"^{word}$"
-    names = ["p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:]]
-    grams = dict.fromkeys([w[i : i + 3] for i in range(len(w) - 2)])
-    names += ["g" + x for x in grams]
-    ids = [hashed("w" + word) % ((1 << bits) - 1) + 1, hashed(f"l{lexicon[word]}") % ((1 << bits) - 1) + 1 if word in lexicon else 0]
-    for x in map(_HASHES.__getitem__, names):
-        ids.append(x % ((1 << bits) - 1) + 1)
-    return ids
+    """All features of one word."""
+    fixed, grams, _ = features([word], lexicon, bits)
+    return [*fixed[0].tolist(), *grams.tolist()]
 
 
 def lexicon_of(texts: list[tuple[str, int]]) -> dict[str, int]:
@@ -90,16 +110,15 @@ class Model:
         """A row for each of the cleaned words."""
         out = np.zeros((len(words), len(self.languages)), self.weights.dtype)
         for i in range(0, len(words), 8192):
-            ids = [word_features(w, self.lexicon) for w in words[i : i + 8192]]
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-            out[i : i + 8192] = np.add.reduceat(self.weights[flat], np.cumsum([0, *map(len, ids[:-1])]))
+            fixed, grams, starts = features(words[i : i + 8192], self.lexicon)
+            out[i : i + 8192] = self.weights[fixed].sum(1) + np.add.reduceat(self.weights[grams], starts)
         return out
 
 
 class Emissions:
     """Emissions of words, cached; words that differ in case or in the signs at their ends share a row."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.forget()
 
@@ -165,7 +184,9 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
     model = Model(languages, W, A, s, lexicon)
     if not live or L == 1:
         return model
-    cache = {w: word_features(w, lexicon, bits) for w in set(itertools.chain.from_iterable(words))}
+    every = sorted(set(itertools.chain.from_iterable(words)))
+    fixed, grams, starts = features(every, lexicon, bits)
+    cache = {w: [*f, *g] for w, f, g in zip(every, fixed.tolist(), map(np.ndarray.tolist, np.split(grams, starts[1:])), strict=True)}
     slots = max(map(len, cache.values()))
     feats = np.zeros((SEQUENCES, STEPS, slots), np.int64)
     gold = np.zeros((SEQUENCES, STEPS), np.int64)
@@ -204,7 +225,7 @@ def fit(texts: list[tuple[str, str]], bits: int = BITS, epochs: int = 4, batch:
             gs += ds**2
             s += rate * ds / np.sqrt(gs)
     model.weights = W.astype(np.float32)
-    del feats, gold, cache, words, gW
+    del feats, gold, cache, fixed, grams, words, gW
     released()
     return model
 

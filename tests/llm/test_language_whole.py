@@ -14,6 +14,15 @@ def test_all_letters_count():
     assert language.pieces("ab " + "x" * 50) == ["ab", "x" * 24, "x" * 24, "xx"] and language.pieces(None) == []
 
 
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "ab", "abc", "straße", "İ".lower() * 24, "x" * 24, "é", "abcd"]
+    fixed, grams, starts = language.features(words, {"abc": 1})
+    for i, w in enumerate(words):
+        end = starts[i + 1] if i + 1 < len(words) else len(grams)
+        assert [*fixed[i], *grams[starts[i] : end]] == language.word_features(w, {"abc": 1}) and end - starts[i] == len(w)
+    assert (fixed[:, 1] > 0).tolist() == [w == "abc" for w in words] and fixed[:, [0, 2, 3, 4, 5, 6, 7]].min() > 0
+
+
 def test_text_without_spaces_is_labelled_whole():
     model = language.fit(PAIRS)
     text = "derhundsaß" + "thecatsatonthemat" * 200 + "vogel"
