@@ -134,9 +134,10 @@ def cuts(units: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> tuple[DataFram
     return full.drop("_part", "_left"), some, few
 
 
-def taken(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
-    """docs: row, doc_id, source, text. row, size, source_size, target and times, how often the mix takes the row."""
-    rows = rows_of(docs, labels)
+def taken(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3, narrow: bool = False) -> DataFrame:
+    """docs: row, doc_id, source, text. row, size, source_size, target and times, how often the mix takes the row. narrow: `row` is
+    small, so that texts are read once and the rest is written."""
+    rows = materialise(rows_of(docs, labels)) if narrow else rows_of(docs, labels)
     units = rows.groupBy(*UNIT).agg(F.first("size").alias("size"), F.first("key").alias("key"), F.first("at").alias("at"), F.count(F.lit(1)).alias("copies"))
     plan, some, few = cuts(materialise(units), weights, epochs)
     sent = F.broadcast if few else lambda df: df
@@ -156,7 +157,7 @@ def taken(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3
 
 def mix(docs: DataFrame, labels: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
-    out = taken(docs.select(F.struct("doc_id").alias("row"), "doc_id", "source", "text"), labels, weights, epochs)
+    out = taken(docs.select(F.struct("doc_id").alias("row"), "doc_id", "source", "text"), labels, weights, epochs, narrow=True)
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
