@@ -24,6 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     big, small = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = materialise(edges.where("u <> v").select(big, small).distinct())
+    most = now.count()  # edges never become more
     for _ in range(most_rounds):
         if _stars(now):
             break
@@ -34,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours join the least of these
         first = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         moved = large.join(first, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(first.select(F.col("n").alias("u"), F.col("m").alias("v")).unionByName(moved).distinct())
+        now = materialise(first.select(F.col("n").alias("u"), F.col("m").alias("v")).unionByName(moved).distinct(), most)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
