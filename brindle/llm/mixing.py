@@ -30,6 +30,8 @@ MOST_SOURCES = 1_000_000
 #: Tables of at most so many sources (a few MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 PICKS = 3
+#: Labelled documents (an id and a weight each) that are broadcast, at most; more are joined by shuffle.
+BROADCAST_LABELS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -62,6 +64,8 @@ def rows_of(docs: DataFrame, labels: DataFrame, seed: int = 5) -> DataFrame:
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((1.0 + F.max("quality")).alias("_q")).select(F.col("doc_id").alias("_l"), "_q")
     rows = docs.select("row", "source", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "hash"), 11).cast("double") + 0.5) / float(2**53)
+    if quality.count() <= BROADCAST_LABELS:  # texts then stay where they are
+        quality = F.broadcast(quality)
     rows = rows.join(quality, F.col("id") == F.col("_l"), "left").withColumn("key", -F.log(u) / F.coalesce("_q", F.lit(1.5)))
     return rows.withColumn("at", 1 - F.exp(-F.col("key"))).drop("_l", "_q")
 
