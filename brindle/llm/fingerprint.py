@@ -61,15 +61,22 @@ def weighted_terms(text: Column) -> Column:
 
 def samples(rows: DataFrame, keys: list[str], text: str, carried: list[str], n: int = SAMPLES) -> DataFrame:
     """rows has a row for each distinct `keys` (partitioned by some of these, else a shuffle follows). keys, carried
-    (longs) and _s: the n samples as numbers of HASH_BITS bits, -1 for an empty text."""
+    (as longs) and _s: the n samples as numbers of HASH_BITS bits, -1 for an empty text."""
+    group = min(GROUP, n)
     words = rows.select(*keys, *carried, weighted_terms(F.col(text)).alias("_w"))
     last = F.size("_w") - 1
     # positions where a run of equal hashes begins
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
     words = words.withColumn("_i", F.when(last >= 0, starts))
-    runs = F.transform("_i", lambda i, j: F.struct(F.get("_w", i).alias("k"), (F.log((F.coalesce(F.get("_i", j + 1), F.size("_w")) - i).cast("double")) / float(np.log(2))).alias("lw")))
-    terms = words.select(*keys, *carried, F.explode_outer(runs).alias("_t")).select(*keys, *carried, F.col("_t.k").alias("_k"), F.col("_t.lw").alias("_lw"))
-    at = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(n // GROUP - 1))).alias("_j"))
+    term = lambda k, lw: F.struct(k.alias("k"), lw.alias("lw"))
+    runs = F.transform("_i", lambda i, j: term(F.get("_w", i), F.log((F.coalesce(F.get("_i", j + 1), F.size("_w")) - i).cast("double")) / float(np.log(2))))
+    # what is carried stands before the terms, without a weight, and takes one row each: an aggregate of its own would be
+    # updated for every term and sample
+    first = [term(x.cast("long"), F.lit(None).cast("double")) for x in ([F.col(c) for c in carried] or [F.lit(0)])]
+    both = F.concat(F.array(*first), F.coalesce(runs, F.array().cast("array<struct<k:bigint,lw:double>>")))
+    terms = words.select(*keys, F.posexplode(both).alias("_p", "_t")).select(*keys, "_p", F.col("_t.k").alias("_k"), F.col("_t.lw").alias("_lw"))
+    groups = F.when(F.col("_p") < len(first), F.array(-1 - F.col("_p"))).otherwise(F.sequence(F.lit(0), F.lit(n // group - 1)))
+    at = terms.select(*keys, "_k", "_lw", F.explode(groups).alias("_j"))
     rate, log_c = _table(_gamma(True) / np.log(2)), _table(np.log2(_gamma(False)))
 
     def rank(j: Column) -> Column:
@@ -84,14 +91,17 @@ def samples(rows: DataFrame, keys: list[str], text: str, carried: list[str], n:
         r, c = F.get(rate, drawn(0)), F.get(log_c, drawn(OCTAVES - 1 + PART))
         b = F.shiftrightunsigned(h, 64 - REST).cast("double") * 2.0**-REST + 2.0 ** -(REST + 1)
         t = F.floor(F.col("_lw") / r + b)
-        mark = (F.col("_k") + t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-        return F.shiftleft(((c - r * (t - b + 1.0) + 128.0) * float(1 << 34)).cast("long"), HASH_BITS).bitwiseOR(mark)
-
-    least = at.groupBy(*keys, "_j").agg(*[F.max(c).alias(c) for c in carried], *[F.min(rank(F.col("_j") * GROUP + i)).alias(f"v{i}") for i in range(GROUP)])
-    values = F.array(*[F.coalesce(F.col(f"v{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), F.lit(-1).cast("long")) for i in range(GROUP)])
-    parts = least.select(*keys, *carried, F.struct("_j", values.alias("v")).alias("_p"))
-    out = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.sort_array(F.collect_list("_p")).alias("_p"))
-    return out.select(*keys, *carried, F.flatten(F.transform("_p", lambda p: p["v"])).alias("_s"))
+        # the hash is cut first: a sum with all of it can pass the largest long, which is an error in ANSI mode
+        mark = (F.col("_k").bitwiseAND(F.lit((1 << HASH_BITS) - 1)) + t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+        return F.shiftleft(F.floor((c - r * (t - b + 1.0) + 128.0) * float(1 << 34)), HASH_BITS).bitwiseOR(mark)
+
+    # a row without a weight has no rank
+    least = at.groupBy(*keys, "_j").agg(*[F.min(F.coalesce(rank(F.col("_j") * group + i), "_k")).alias(f"v{i}") for i in range(group)])
+    values = F.array(*[F.col(f"v{i}").bitwiseAND(F.lit((1 << HASH_BITS) - 1)) for i in range(group)])
+    parts = least.select(*keys, "_j", "v0", F.when(F.col("_j") >= 0, F.struct("_j", values.alias("v"))).alias("_p"))
+    out = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == -1 - i, F.col("v0"))).alias(c) for i, c in enumerate(carried)], F.sort_array(F.collect_list("_p")).alias("_p"))
+    got = F.when(F.size("_p") > 0, F.flatten(F.transform("_p", lambda p: p["v"]))).otherwise(F.array_repeat(F.lit(-1).cast("long"), n))
+    return out.select(*keys, *carried, got.alias("_s"))
 
 
 def printed(samples: Column) -> Column:

@@ -37,3 +37,20 @@ def test_ids_that_fill_several_ranges(spark):
         half = len(t) // 2
         want[d, len(t), hashlib.sha256((t[: len(t) - half] + nx[:half]).encode()).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited(df, 4).collect()) == want
+
+
+def test_a_word_whose_hash_is_near_the_largest_long(spark):
+    """Its hash plus a multiple of a constant is no long any more, which ANSI mode makes an error."""
+    text = "w2016508612 " * 40
+    assert (1 << 63) - 0x9E3779B1 < xxhash.xxh64_intdigest(text.split()[0].encode(), 42) < 1 << 63
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    rows = fingerprint.edited(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert [r.near_next for r in rows] == [1.0, 1.0] and len({r.fingerprint for r in rows}) == 1
+
+
+def test_draws_update_nothing_but_the_samples(spark):
+    """An aggregate of what is carried would be updated for each word and group of samples."""
+    df = fingerprint.edited(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    draws = [x for x in plan.splitlines() if "Aggregate" in x and "min(" in x]
+    assert len(draws) == 1 and "max(" not in draws[0]
